@@ -78,3 +78,8 @@ def group_count(total_bytes: int, least: int = 24) -> int:
 def bucket_count(message_bytes: float, least: int = 16, size: float = 12e6) -> int:
     """Number of buckets so that one holds about `size` bytes of messages."""
     return max(least, math.ceil(message_bytes / size))
+
+
+def held_out(doc_id, parts: int, part: int):
+    """Whether crc32 of doc_id as text leaves `part` modulo `parts`; a null doc_id counts as not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 
 
@@ -14,6 +15,14 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents"), with_media=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 3, 1)
+    return identify(docs, docs.where(~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
@@ -45,5 +54,13 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(table(spark, sf_dir, "documents"), window=100, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op3_substring_dedup, op4_benchmark_decontamination, op5_simhash_near_dedup, op8_best_fit_packing, op9_suffix_array_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    labels = table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 4, 2)
+    return score_toxicity(table(spark, sf_dir, "documents"), labels.where(~out), threshold=0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_substring_dedup, op4_benchmark_decontamination, op5_simhash_near_dedup, op8_best_fit_packing, op9_suffix_array_dedup, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": DECONTAMINATION_SQL}
