@@ -88,26 +88,23 @@ def doc_ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.fill_null(NO_DOC).to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(column, pa.Array) else column.fill_null(NO_DOC).to_numpy().astype(np.int64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word (maximal run without ASCII white space, within a row), and where each row's words start.
-
-    Works through the buffer in blocks that end between words, so memory does
-    not follow the length of a text.
-    """
+def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word: a maximal run without ASCII white space, within a row."""
     n = len(data)
     space = _SPACE[data]
     first, last = ~space, ~space
     begins = starts[1:-1]
-    begins = begins[begins < n]
+    begins = begins[(begins > 0) & (begins < n)]
     if n > 1:
-        gap = space.copy()
-        first[1:] &= gap[:-1]
-        last[:-1] &= gap[1:]
-        inner = begins[begins > 0]
-        first[inner] = ~space[inner]
-        last[inner - 1] = ~space[inner - 1]
-    at = np.flatnonzero(first)
-    to = np.flatnonzero(last) + 1
+        first[1:] &= space[:-1]
+        last[:-1] &= space[1:]
+        first[begins] = ~space[begins]
+        last[begins - 1] = ~space[begins - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """A hash of data[at:to] for ascending spans, block by block so that memory does not follow the length of a text."""
     hashes = np.empty(len(at), U64)
     done = 0
     while done < len(at):
@@ -119,7 +116,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         h = (s[b] - s[a]) * powers(int(hi - lo) + 1)[1][a]
         hashes[done:upto] = mix(h + (b - a).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
         done = upto
-    return hashes, np.searchsorted(at, starts)
+    return hashes
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and where each row's words start (one more entry than rows)."""
+    at, to = word_spans(data, starts)
+    return span_hashes(data, at, to), np.searchsorted(at, starts)
 
 
 def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

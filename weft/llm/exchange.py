@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -25,10 +25,10 @@ _MESSAGE_ARROW = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("kind"
 _ANSWER_ARROW = pa.schema([("grp", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
-def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """doc_id, text, row_key (hash of both) and grp of each row; other columns stay out."""
+def grouped(docs: DataFrame, groups: int, **more: Column) -> DataFrame:
+    """doc_id, text, row_key (hash of both), grp and the columns of `more` of each row; other columns stay out."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row_key")).withColumn("grp", F.pmod(F.col("row_key"), F.lit(groups)).cast("int"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row_key"), *(c.alias(n) for n, c in more.items())).withColumn("grp", F.pmod(F.col("row_key"), F.lit(groups)).cast("int"))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
