@@ -48,6 +48,12 @@ def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -68,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), labels.where(~out), threshold=0.3).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_substring_dedup, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_maxent_lm, op8_best_fit_packing, op9_suffix_array_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_substring_dedup, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_maxent_lm, op7_html_extraction, op8_best_fit_packing, op9_suffix_array_dedup, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": DECONTAMINATION_SQL}

@@ -38,7 +38,7 @@ from .common import bucket_count, group_count, prepare, text_bytes
 U64 = np.uint64
 GRAM = 32
 BATCH = 1 << 20
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string"
+SCHEMA = "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -354,20 +354,21 @@ def _finish(window: int, with_text: bool):
             digest.append(hashlib.sha256(_without(text, a, b, False) if a else text).hexdigest())
             kept_text.append((_without(text, a, b, True) if a else text).decode() if with_text else None)
         return pa.table(
-            {"doc_id": table["doc_id"].cast(pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(x) for x in spans], pa.int64()), "spans": pa.array(spans, _SPANS), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept_text, pa.string())}
+            {"doc_id": table["doc_id"].cast(pa.int64()), "row_key": table["row_key"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(x) for x in spans], pa.int64()), "spans": pa.array(spans, _SPANS), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept_text, pa.string())}
         )
 
     return result
 
 
-def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, with_key: bool = False) -> DataFrame:
     """Drop every byte covered by a `window`-byte string that also starts earlier.
 
     docs needs doc_id and text; other columns, whatever their names, are
     ignored. Returns a row for each input row: doc_id, n_bytes, n_removed,
     n_spans, spans (maximal removed runs, byte offsets), kept_sha256 (of the
     remaining bytes) and, with with_text, kept_text (spans shrunk to whole
-    characters, else null). Null text is empty; a null doc_id counts as larger
+    characters, else null); with with_key also row_key, xxhash64(doc_id, text),
+    to join rows by. Null text is empty; a null doc_id counts as larger
     than any other; rows with equal doc_id count as one document, ordered by
     start, so that exact repeats of a row keep their text.
     """
@@ -380,4 +381,5 @@ def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True) -
     fragments = bucket_count(total * 1.0)
     shared = X.reply(X.ask(rows, _send_picks(picks, window)), X.repeated_elsewhere)
     found = X.reply(X.ask_again(rows, shared, _send_fragments(fragments, window)), _repeats(window))
-    return X.finish(rows, found, _finish(window, with_text), SCHEMA)
+    out = X.finish(rows, found, _finish(window, with_text), SCHEMA)
+    return out if with_key else out.drop("row_key")

@@ -108,6 +108,7 @@ class Machine:
 
 
 _MACHINE = Machine()
+_CLAUSES = pa.list_(pa.struct([("pattern", pa.string()), ("weight", pa.float64())]))
 
 
 @dataclass
@@ -164,9 +165,8 @@ class Grammar:
                 out.append((pattern, max(weights, default=self.patterns["threat"])))
         return out
 
-    def score(self, text: str | None, automaton) -> float:
-        """Probability that the text is toxic: the strongest clause, raised a little by each further one."""
-        found = self.clauses(text or "", automaton)
+    def weigh(self, found: list[tuple[str, float]]) -> float:
+        """Probability that a text with these clauses is toxic: the strongest one, raised a little by each further one."""
         if not found:
             return self.rest
         odds = sorted((w + self.patterns[p] for p, w in found), reverse=True)
@@ -299,11 +299,12 @@ def _tune(docs: DataFrame, labels: DataFrame, grammar: Grammar, per_class: int)
     return grammar
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 if score >= threshold) and patterns of the matched clauses for each row.
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, scored: DataFrame | None = None) -> DataFrame:
+    """doc_id, score (0 to 1), predicted (1 if score >= threshold) and clauses (pattern and weight of each match) for each row.
 
     docs needs doc_id and text, labels doc_id and toxic: the caller passes the
-    labels that may be learned from. Other columns are ignored and labels never
+    labels that may be learned from. With scored (doc_id, text), the grammar is
+    learned from docs and those rows are scored instead. Other columns are ignored and labels never
     enter a score. Null and empty texts have no clause and get the score of a
     text without a match; without usable labels only threats match.
     """
@@ -315,9 +316,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     def work(batches):
         machine = grammar.automaton()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            score = np.array([grammar.score(t, machine) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            found = [grammar.clauses(t or "", machine) for t in batch.column(1).to_pylist()]
+            score = np.array([grammar.weigh(f) for f in found])
+            clauses = pa.array([[{"pattern": p, "weight": w} for p, w in f] for f in found], _CLAUSES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), clauses], names=["doc_id", "score", "predicted", "clauses"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, score double, predicted int")
+    rows = docs if scored is None else scored
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, score double, predicted int, clauses array<struct<pattern:string,weight:double>>")
 
