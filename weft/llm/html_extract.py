@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import boosting
 from .common import prepare
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop|y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed sets of HTML element names.
@@ -75,15 +75,19 @@ class Page:
         events = self.events
         links = 0
         at = 0
-        find = TAG.search
         while True:
-            m = find(s, at)
-            if m is None:
-                if at < len(s):
-                    events.append((stack[-1][1], s[at:], links > 0))
+            lo = s.find("<", at)
+            if lo > at or lo < 0 and at < len(s):
+                events.append((stack[-1][1], s[at : lo if lo >= 0 else len(s)], links > 0))
+            if lo < 0:
                 return
-            if m.start() > at:
-                events.append((stack[-1][1], s[at : m.start()], links > 0))
+            m = TAG.match(s, lo)
+            if m is None:
+                if s[lo + 1 : lo + 2].isalpha() or s[lo + 1 : lo + 2] in ("/", "!", "?"):
+                    return  # the page ends inside a tag
+                events.append((stack[-1][1], "<", links > 0))
+                at = lo + 1
+                continue
             at = m.end()
             tag = m[2]
             if tag is None:
