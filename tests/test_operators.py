@@ -108,6 +108,12 @@ def test_human_sort(spark):
     assert got == ["-1K", "2", "900", "1K", "1.5K", "1M"]
 
 
+def test_version_sort(spark):
+    want = ["1.0~rc1", "1.0", "1.0a", "1.0.1", "1.2", "1.10", "a1", "a02", "a10"]
+    df = frame(spark, "\n".join(random.Random(1).sample(want, len(want))))
+    assert [r.line for r in lines(df, "doc_id").orderBy(text.version_key(F.col("line")), "line").collect()] == want
+
+
 def test_paragraph_records(spark):
     df = frame(spark, "\n\na\nb\n\n\nc\n")
     assert column(records(df, "doc_id"), "record", ("nr",)) == ["a\nb", "c"]

@@ -219,6 +219,17 @@ def human_number(col: Column) -> tuple[Column, Column]:
     return F.signum(number) * (unit + 1), number
 
 
+def version_key(col: Column) -> Column:
+    """sort -V: runs of other characters and of digits in turn; ~ before the end, the end before letters, letters before the rest."""
+
+    def ranked(text: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(text, "([^A-Za-z~])", "3$1"), "([A-Za-z])", "2$1")
+        return F.concat(F.regexp_replace(marked, "~", "0~"), F.lit("1"))
+
+    runs = F.regexp_extract_all(col, F.lit("([^0-9]*)([0-9]*)"), F.lit(0))
+    return F.transform(runs, lambda x: F.struct(ranked(F.regexp_extract(x, "^([^0-9]*)", 1)).alias("t"), F.coalesce(F.regexp_extract(x, "([0-9]*)$", 1).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("n")))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

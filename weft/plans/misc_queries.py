@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jq import ascii_upcase
 from ..sources.tables import lines, load
 from ..streaming import incremental as S
-from . import shell
+from . import jq, shell
 from .registry import query
 from .text_queries import LINES
 
@@ -108,3 +108,23 @@ def _(spark, sf):
 def _(spark, sf):
     joined = load(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list("p_name")), "\x00").alias("z"))
     return joined.select("p_brand", F.posexplode(F.split("z", "\x00")).alias("k", "v")).withColumn("k", (F.col("k") + 1).cast("long"))
+
+
+@query("udf_04_jq_def", "SELECT event_id, 1 AS k, CAST(2 * CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS out FROM events")
+def _(spark, sf):
+    return jq.jq(load(spark, sf, "events"), "def twice(f): f * 2; .k | twice(.)", "props", ("event_id",)).select("event_id", "k", "out")
+
+
+@query("grf_23_jq_paths", "SELECT event_id, k, CASE k WHEN 1 THEN '[\"k\"]' ELSE 'k' END AS out FROM events, (SELECT unnest([1, 2]) AS k)")
+def _(spark, sf):
+    return jq.jq(load(spark, sf, "events"), "paths, keys[]", "props", ("event_id",), raw=True).select("event_id", "k", "out")
+
+
+@query("jsn_10_destructuring", "SELECT event_id, '{\"a\":' || json_extract_string(props, '$.k') || ',\"b\":' || (CAST(json_extract(props, '$.k') AS BIGINT) + 1) || '}' AS out FROM events")
+def _(spark, sf):
+    return jq.jq(load(spark, sf, "events"), ". as {k: $k} | {a: $k, b: ($k + 1)}", "props", ("event_id",)).select("event_id", "out")
+
+
+@query("jsn_14_arguments", "SELECT event_id, 'x' || (CAST(json_extract(props, '$.k') AS BIGINT) + 7) AS out FROM events")
+def _(spark, sf):
+    return jq.jq(load(spark, sf, "events"), '"\\($p)\\(.k + $n)"', "props", ("event_id",), raw=True, p="x", n=7).select("event_id", "out")

@@ -309,6 +309,12 @@ def _(spark, sf):
     return T.sort_rank(p, ("p_brand",), [unit, number, F.col("p_partkey")]).select("p_partkey", "rank")
 
 
+@query("srt_05_sort_version", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey % 12, p_partkey) AS rank FROM part")
+def _(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_brand", F.format_string("file-%d.%d.tar", "p_size", F.col("p_partkey") % 12).alias("v"))
+    return T.sort_rank(p, ("p_brand",), [T.version_key(F.col("v")), F.col("p_partkey")]).select("p_partkey", "rank")
+
+
 @query("srt_06_sort_fold_reverse", "SELECT doc_id, ln, row_number() OVER (PARTITION BY doc_id ORDER BY upper(regexp_replace(line, '[^A-Za-z0-9 ]', '', 'g')) DESC, line DESC, ln) AS rank FROM " + LINES)
 def _(spark, sf):
     key = F.upper(F.regexp_replace("line", "[^A-Za-z0-9 ]", ""))
