@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import tidy
+
 U64 = np.uint64
 MESSAGE = "bucket int, grp int, kind int, payload binary"
 ANSWER = "grp int, kind int, payload binary"
@@ -45,11 +47,13 @@ def deal(grp: int, bucket: np.ndarray, buckets: int, pack: Callable[[np.ndarray]
 
 def messages(rows: Iterable[tuple[int, int, int, bytes]]) -> pa.Table:
     rows = list(rows)
+    tidy()
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MESSAGE_ARROW)], schema=_MESSAGE_ARROW)
 
 
 def answers(rows: Iterable[tuple[int, int, bytes]]) -> pa.Table:
     rows = list(rows)
+    tidy()
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ANSWER_ARROW)], schema=_ANSWER_ARROW)
 
 

@@ -37,7 +37,7 @@ from .common import bucket_count, group_count, prepare, text_bytes
 
 U64 = np.uint64
 GRAM = 32
-BATCH = 1 << 20
+BATCH = 1 << 18
 SCHEMA = "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -353,6 +353,7 @@ def _finish(window: int, with_text: bool):
             spans.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
             digest.append(hashlib.sha256(_without(text, a, b, False) if a else text).hexdigest())
             kept_text.append((_without(text, a, b, True) if a else text).decode() if with_text else None)
+        B.tidy()
         return pa.table(
             {"doc_id": table["doc_id"].cast(pa.int64()), "row_key": table["row_key"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(x) for x in spans], pa.int64()), "spans": pa.array(spans, _SPANS), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept_text, pa.string())}
         )
@@ -378,7 +379,7 @@ def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, w
     total = text_bytes(docs)
     rows = X.grouped(docs, group_count(total))
     picks = bucket_count(total * 0.25)
-    fragments = bucket_count(total * 1.0)
+    fragments = bucket_count(total * 1.0, least=48, size=3e6)
     shared = X.reply(X.ask(rows, _send_picks(picks, window)), X.repeated_elsewhere)
     found = X.reply(X.ask_again(rows, shared, _send_fragments(fragments, window)), _repeats(window))
     out = X.finish(rows, found, _finish(window, with_text), SCHEMA)
