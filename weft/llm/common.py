@@ -75,7 +75,7 @@ def group_count(total_bytes: int, least: int = 24) -> int:
     return max(least, math.ceil(total_bytes / size))
 
 
-def bucket_count(message_bytes: float, least: int = 16, size: float = 12e6) -> int:
+def bucket_count(message_bytes: float, least: int = 64, size: float = 12e6) -> int:
     """Number of buckets so that one holds about `size` bytes of messages."""
     return max(least, math.ceil(message_bytes / size))
 

@@ -379,7 +379,7 @@ def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, w
     total = text_bytes(docs)
     rows = X.grouped(docs, group_count(total))
     picks = bucket_count(total * 0.25)
-    fragments = bucket_count(total * 1.0, least=48, size=3e6)
+    fragments = bucket_count(total * 1.0, size=3e6)
     shared = X.reply(X.ask(rows, _send_picks(picks, window)), X.repeated_elsewhere)
     found = X.reply(X.ask_again(rows, shared, _send_fragments(fragments, window)), _repeats(window))
     out = X.finish(rows, found, _finish(window, with_text), SCHEMA)
