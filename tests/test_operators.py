@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import awk, jq, numbers
 from weft.operators import graph, patterns, relational, text, version
 from weft.plans import shell
+from weft.sources import sinks
 from weft.sources.tables import lines, records, sequence_rows
 from weft.streaming import incremental
 
@@ -198,6 +199,100 @@ def test_merge_texts():
     assert n == 1 and merged[1:6] == ["<<<<<<< ours", "X", "=======", "Z", ">>>>>>> theirs"]
 
 
+def test_listing_forms():
+    assert version.normal_diff(list("abcd"), list("axd")) == "2,3c2\n< b\n< c\n---\n> x"
+    assert version.normal_diff(list("ab"), list("abcd")) == "2a3,4\n> c\n> d"
+    assert version.normal_diff(list("abc"), list("c")) == "1,2d0\n< a\n< b"
+    assert version.normal_diff([], ["x"]) == "0a1\n> x" and version.normal_diff(["x"], ["x"]) == ""
+
+
+def test_combined_diff_rebuilds_every_side():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.choice((2, 3))
+        *parents, result = [[rng.choice("abcd") for _ in range(rng.randint(0, 8))] for _ in range(n + 1)]
+        out = version.combined_diff(parents, result, around=1000)
+        if any(p == result for p in parents):
+            assert out == ""
+            continue
+        head, *rows = out.split("\n")
+        sides = [[], *([] for _ in parents)]
+        for row in rows:
+            marks, line = row[:n], row[n:]
+            if "-" not in marks:
+                sides[0].append(line)
+            for k, m in enumerate(marks, 1):
+                if m == "-" or (m == " " and "-" not in marks):
+                    sides[k].append(line)
+        assert sides == [result, *parents]
+        assert [int(x.split(",")[1]) for x in head.strip("@ ").split()] == [*(len(p) for p in parents), len(result)]
+
+
+def test_combined_diff_leaves_one_sided_hunks_out():
+    base = [str(i) for i in range(30)]
+    ours, theirs, merged = list(base), list(base), list(base)
+    ours[3] = merged[3] = "ours"
+    theirs[20], merged[20] = "theirs", "both"
+    assert version.combined_diff([ours, theirs], merged) == "@@@ -18,7 -18,7 +18,7 @@@\n  17\n  18\n  19\n- 20\n -theirs\n++both\n  21\n  22\n  23"
+
+
+def test_virtual_base():
+    origin = list("abcdefg")
+    assert version.virtual_base(origin, []) == origin and version.virtual_base(origin, [list("xbcdefg")]) == list("xbcdefg")
+    assert version.virtual_base(origin, [list("xbcdefg"), list("abcdefy")]) == list("xbcdefy")
+    assert "=======" in version.virtual_base(origin, [list("xbcdefg"), list("ybcdefg")])
+
+
+def test_log_line(spark):
+    c = {"H": F.lit("0123456789"), "B": F.lit("subject\nbody"), "an": F.lit(None).cast("string")}
+    assert one(spark, version.log_line("%h|%s|%B|%an%%%n", c)) == "0123456|subject|subject\nbody|%\n"
+    with pytest.raises(ValueError):
+        version.log_line("%Z", c)
+
+
+def test_jaro_and_closest():
+    assert round(version.jaro("martha", "marhta"), 4) == 0.9444 and version.jaro("", "") == 1 and version.jaro("a", "") == 0
+    assert version.closest("gerp", ["grep", "sort"]) == "grep" and version.closest("zzz", ["grep"]) is None and version.closest("x", []) is None
+
+
+def test_tree_lines(spark):
+    df = spark.createDataFrame([("a/b/x",), ("a/c",), ("z",), ("a/b/y",), ("a/c",), (None,)], "path string")
+    rows = relational.tree_lines(df).collect()
+    assert [r.line for r in sorted(rows, key=lambda r: r.path.split("/"))] == ["├── a", "│   ├── b", "│   │   ├── x", "│   │   └── y", "│   └── c", "└── z"]
+    assert relational.tree_lines(df.limit(0)).count() == 0
+
+
+def test_closure_can_be_resumed(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(7, 3)], "child long, parent long")
+    state, done, calls = spark.createDataFrame([(0, 0, 0)], "seed int, node long, depth int"), False, 0
+    while not done:
+        state, done = graph.advance(edges, state, 3)
+        calls += 1
+    assert calls == 3 and sorted((r.node, r.depth) for r in state.collect()) == [(i, i) for i in range(8)]
+    assert graph.advance(edges, state.limit(0))[1]
+
+
+def test_epochs(spark):
+    cached = spark.createDataFrame([(1, 5, "kept"), (2, 5, "old")], "k int, epoch int, v string")
+    epochs = spark.createDataFrame([(1, 5), (2, 6), (3, 1)], "k int, epoch int")
+    out = incremental.revalidated(cached, epochs, ["k"], "epoch", lambda keys: epochs.join(keys, "k", "left_semi").withColumn("v", F.lit("new")))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 5, "kept"), (2, 6, "new"), (3, 1, "new")]
+
+
+def test_sinks(spark, tmp_path):
+    at = str(tmp_path)
+    df = spark.createDataFrame([("b",), ("a",)], "line string")
+    assert sorted(r.line for r in sinks.tee(df, f"{at}/one", f"{at}/two").collect()) == ["a", "b"] and spark.read.parquet(f"{at}/two").count() == 2
+    sinks.edit_in_place(spark, f"{at}/one", lambda t: t.where("line = 'a'"))
+    assert [r.line for r in spark.read.parquet(f"{at}/one").collect()] == ["a"] and not [p.name for p in tmp_path.iterdir() if p.name.endswith((".old", ".new"))]
+    sinks.append_lines(df, f"{at}/log")
+    sinks.append_lines(df, f"{at}/log")
+    assert spark.read.text(f"{at}/log").count() == 4
+    for _ in range(2):
+        sinks.append_stream(spark.readStream.schema("line string").parquet(f"{at}/two"), f"{at}/out", f"{at}/cp").awaitTermination()
+    assert spark.read.parquet(f"{at}/out").count() == 2
+
+
 def test_blob_id(spark):
     assert one(spark, version.blob_id(F.lit("hello\n"))) == "ce013625030ba8dba906f756967f9e9ca394464a"
 

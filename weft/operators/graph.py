@@ -35,6 +35,24 @@ def closure(edges: DataFrame, seeds: DataFrame, most: int = 100_000, stop: DataF
     raise RuntimeError(f"no end after {most} rounds")
 
 
+def advance(edges: DataFrame, state: DataFrame, rounds: int = 1) -> tuple[DataFrame, bool]:
+    """(state, done) after at most `rounds` more rounds of a closure.
+
+    state (seed, node, depth) starts as the seeds at depth 0 and is all there
+    is to keep between calls: its frontier are the rows of the greatest depth.
+    """
+    depth = state.agg(F.max("depth")).first()[0]
+    if depth is None:
+        return state, True
+    for d in range(depth, depth + rounds):
+        step = state.where(F.col("depth") == d).join(edges.select(F.col("child").alias("node"), "parent"), "node").select("seed", F.col("parent").alias("node")).distinct()
+        fresh = cut(step.join(state.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d + 1)))
+        if fresh.isEmpty():
+            return state, True
+        state = cut(state.unionByName(fresh))
+    return state, False
+
+
 def follow_links(starts: DataFrame, links: DataFrame, most: int = 40) -> DataFrame:
     """(start, target, hops) after following links (src, dst) from each start until one has none, at most `most` times."""
     state = starts.select("start", F.col("start").alias("target"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("open"))

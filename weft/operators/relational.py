@@ -108,3 +108,21 @@ def batches(df: DataFrame, key: str, size: int, partition: str) -> DataFrame:
     """Rows of a partition in groups of `size` in key order, as xargs -n makes them."""
     n = F.row_number().over(Window.partitionBy(partition).orderBy(key)) - 1
     return df.withColumn("batch", F.floor(n / size).cast("long")).groupBy(partition, "batch").agg(F.array_sort(F.collect_list(key)).alias("args"))
+
+
+def tree_lines(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Every file and directory (path, depth) with its line of a drawn tree.
+
+    Whether a branch goes on after an entry is asked once of each directory:
+    its last name joins the ancestors of every entry, so no directory is
+    numbered or gathered in one task.
+    """
+    nodes = paths.where(F.col(path).isNotNull()).select(F.explode(prefixes(F.col(path))).alias("node")).distinct()
+    up = F.split("node", "/")
+    named = nodes.select("node", F.array_join(F.slice(up, F.lit(1), F.size(up) - 1), "/").alias("dir"), F.element_at(up, -1).alias("name"))
+    last = named.groupBy("dir").agg(F.max("name").alias("last"))
+    steps = nodes.select("node", F.posexplode(up).alias("k", "part"), up.alias("up")).select("node", "k", "part", F.array_join(F.slice("up", F.lit(1), F.col("k")), "/").alias("dir"))
+    met = steps.join(last, "dir").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("part") == F.col("last")).alias("ends")))).alias("s"))
+    stems = F.transform(F.slice("s", F.lit(1), F.size("s") - 1), lambda x: F.when(x["ends"], "    ").otherwise("│   "))
+    line = F.concat(F.array_join(stems, ""), F.when(F.element_at("s", -1)["ends"], "└── ").otherwise("├── "), F.element_at(F.split("node", "/"), -1))
+    return met.select(F.col("node").alias(path), F.size("s").cast("long").alias("depth"), line.alias("line"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .patterns import glob_pattern
 from .relational import three_way
@@ -248,6 +248,112 @@ def merge_texts(base: list[str], ours: list[str], theirs: list[str], names: tupl
     return out, conflicts
 
 
+def normal_diff(old: list[str], new: list[str]) -> str:
+    """The script as a listing of commands: 2,3c2 with < and > lines, a for added, d for deleted; empty for equal texts."""
+
+    def span(a: int, b: int) -> str:
+        return f"{a + 1}" if b == a + 1 else f"{a + 1},{b}" if b > a else f"{a}"
+
+    out: list[str] = []
+    changes: list[list[int]] = []
+    for kind, a, b, c, d in edit_script(old, new):
+        if kind == "=":
+            continue
+        if changes and changes[-1][1] == a and changes[-1][3] == c:
+            changes[-1][1], changes[-1][3] = b, d
+        else:
+            changes.append([a, b, c, d])
+    for a, b, c, d in changes:
+        out.append(span(a, b) + ("c" if b > a and d > c else "d" if b > a else "a") + span(c, d))
+        out += [f"< {line}" for line in old[a:b]]
+        out += ["---"] if b > a and d > c else []
+        out += [f"> {line}" for line in new[c:d]]
+    return "\n".join(out)
+
+
+def combined_diff(parents: list[list[str]], result: list[str], around: int = 3) -> str:
+    """A result against several parents at once: a column of marks for each parent.
+
+    A line of the result has + where a parent lacks it; a lost line stands
+    before the place it is missing from, with - for each parent that had it
+    there. Hunks in which the result equals one of the parents are left out.
+    """
+    n = len(parents)
+    added = [[False] * n for _ in result]
+    lost: list[list[tuple[str, list[bool]]]] = [[] for _ in range(len(result) + 1)]
+    for k, parent in enumerate(parents):
+        for kind, a, b, c, d in edit_script(parent, result):
+            if kind == "+":
+                for i in range(c, d):
+                    added[i][k] = True
+            elif kind == "-":
+                here, gone = lost[c], parent[a:b]
+                lost[c] = []
+                for how, p, q, r, t in edit_script([line for line, _ in here], gone):
+                    if how == "+":
+                        lost[c] += [(line, [x == k for x in range(n)]) for line in gone[r:t]]
+                    else:
+                        lost[c] += [(line, [m or (x == k and how == "=") for x, m in enumerate(marks)]) for line, marks in here[p:q]]
+    touched = [i for i in range(len(result) + 1) if lost[i] or (i < len(result) and any(added[i]))]
+    groups: list[list[int]] = []
+    for i in touched:
+        if groups and i - groups[-1][-1] <= 2 * around:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+
+    def before(k: int, at: int) -> int:
+        """Lines of parent k that stand before a place of the result (past its end: all of them)."""
+        gone = sum(marks[k] for i in range(at) for _, marks in lost[i])
+        return sum(not row[k] for row in added[:at]) + gone
+
+    out = []
+    for g in groups:
+        changed = [any(marks[k] for i in g for _, marks in lost[i]) or any(i < len(result) and added[i][k] for i in g) for k in range(n)]
+        if not all(changed):
+            continue
+        lo, hi = max(0, g[0] - around), min(len(result), g[-1] + 1 + around)
+        end = hi + 1 if hi == len(result) else hi
+        body = []
+        for i in range(lo, end):
+            body += ["".join("-" if m else " " for m in marks) + line for line, marks in lost[i]]
+            if i < len(result):
+                body.append("".join("+" if m else " " for m in added[i]) + result[i])
+        bar = "@" * (n + 1)
+        sizes = [before(k, end) - before(k, lo) for k in range(n)]
+        olds = " ".join(f"-{before(k, lo) + (sizes[k] > 0)},{sizes[k]}" for k in range(n))
+        out.append(f"{bar} {olds} +{lo + (hi > lo)},{hi - lo} {bar}")
+        out += body
+    return "\n".join(out)
+
+
+def virtual_base(origin: list[str], bases: list[list[str]]) -> list[str]:
+    """One base for several: the bases merged in turn over their origin, marks of conflicts kept as text."""
+    out = bases[0] if bases else origin
+    for other in bases[1:]:
+        out, _ = merge_texts(origin, out, other, ("Temporary merge branch 1", "Temporary merge branch 2"))
+    return out
+
+
+def log_line(template: str, columns: dict[str, Column]) -> Column:
+    """A log format as a Column: %H %P %B and so on by name, %h the first seven of H, %s the first line of B, %n a line end, %% a percent sign."""
+    parts = []
+    for literal, name in re.findall(r"([^%]+)|%(a[nte]|c[nte]|[A-Za-z%])", template):
+        if literal:
+            parts.append(F.lit(literal))
+        elif name in ("n", "%"):
+            parts.append(F.lit("\n" if name == "n" else "%"))
+        elif name == "h" and "H" in columns:
+            parts.append(F.substr(columns["H"], F.lit(1), F.lit(7)))
+        elif name == "s" and "B" in columns:
+            parts.append(F.substring_index(columns["B"], "\n", 1))
+        elif name in columns:
+            parts.append(F.coalesce(columns[name].cast("string"), F.lit("")))
+        else:
+            raise ValueError(f"%{name} is not known")
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def _struct(**fields) -> StructType:
     """A type without a session: workers import this module."""
     return StructType([StructField(n, t) for n, t in fields.items()])
@@ -286,7 +392,56 @@ def patch_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
         yield pd.DataFrame([("\n".join(t), n) for t, n in rows], columns=["text", "rejected"])
 
 
+@F.pandas_udf(StringType())
+def diff_listing(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """normal_diff of (old, new) texts."""
+    for old, new in parts:
+        yield pd.Series([normal_diff(_rows(a), _rows(b)) for a, b in zip(old, new, strict=True)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def diff_combined(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """combined_diff of (array of parent texts, result)."""
+    for parents, result in parts:
+        yield pd.Series([combined_diff([_rows(x) for x in p], _rows(r)) for p, r in zip(parents, result, strict=True)], dtype=object)
+
+
+@F.pandas_udf(_struct(text=StringType(), conflicts=LongType()))
+def merge_over_bases(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Merged text and number of conflicts of (origin, array of bases, ours, theirs): the bases become one virtual base first."""
+    for origin, bases, ours, theirs in parts:
+        rows = [merge_texts(virtual_base(_rows(o), [_rows(x) for x in b]), _rows(p), _rows(q)) for o, b, p, q in zip(origin, bases, ours, theirs, strict=True)]
+        yield pd.DataFrame([("\n".join(m), n) for m, n in rows], columns=["text", "conflicts"])
+
+
+@F.pandas_udf(DoubleType())
+def jaro_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """jaro of two texts; null if either is null."""
+    for left, right in parts:
+        yield pd.Series([None if a is None or b is None else jaro(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def jaro(a: str, b: str) -> float:
+    """Jaro similarity, 0 to 1: common characters within half the longer length, less half of those out of order."""
+    if a == b:
+        return 1.0
+    reach = max(len(a), len(b)) // 2 - 1
+    used = [False] * len(b)
+    common = []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                common.append(c)
+                break
+    m = len(common)
+    if not m:
+        return 0.0
+    swapped = sum(x != y for x, y in zip(common, (c for c, u in zip(b, used, strict=True) if u), strict=True)) // 2
+    return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+
+
 def closest(name: str, known: list[str]) -> str | None:
-    """The known name most like a misspelt one."""
-    found = difflib.get_close_matches(name, known, 1)
-    return found[0] if found else None
+    """The known name most like a misspelt one, if it is like it at all."""
+    best = max(known, key=lambda k: jaro(name, k), default=None)
+    return best if best is not None and jaro(name, best) >= 0.7 else None

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registered() -> tuple[dict, dict]:
     """All queries and their SQL."""
-    from . import graph_queries, json_queries, misc_queries, registry, relational_queries, text_queries  # noqa: F401
+    from . import graph_queries, json_queries, misc_queries, registry, relational_queries, text_queries, tool_queries  # noqa: F401
 
     return registry.QUERIES, registry.ORACLE

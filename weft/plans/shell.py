@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..operators import text as T
 from ..operators.patterns import search_pattern
 from ..operators.version import closest
+from ..sources.tables import lines
 from ..streaming.incremental import COMMANDS
+from .awk import awk
 
 Stage = Callable[[DataFrame, tuple[str, ...], list[str]], DataFrame]
 
@@ -186,7 +188,23 @@ def _nl(df, keys, args):
     return df.withColumn("line", F.when(F.col("line") == "", "       ").otherwise(F.format_string("%6d\t%s", full, "line")))
 
 
+def _awk(df, keys, args):
+    o, rest = options(args, "", "Fv")
+    variables = dict(v.split("=", 1) for v in o.get("v") or [])
+    if "F" in o:
+        variables["FS"] = "\t" if o["F"][0] == "t" else o["F"][0]
+    files = df.groupBy(*keys).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+    return lines(awk(files, rest[0], "text", keys, **variables), *keys, text="out")
+
+
+def _diff(df, keys, args):
+    raise ValueError("diff takes two inputs: use weft.operators.version")
+
+
 STAGES: dict[str, Stage] = {
+    "awk": _awk,
+    "mawk": _awk,
+    "diff": _diff,
     "grep": _grep,
     "rg": lambda df, keys, args: _grep(df, keys, ["-E", *args]),
     "egrep": lambda df, keys, args: _grep(df, keys, ["-E", *args]),

@@ -30,6 +30,17 @@ def apply_batch(table: DataFrame, batch: DataFrame, keys: list[str], order: str)
     return latest(table.unionByName(batch), keys, order)
 
 
+def revalidated(cached: DataFrame, epochs: DataFrame, keys: list[str], epoch: str, recompute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Cached rows whose epoch still holds, and fresh ones (by `recompute` of the keys) for epochs that drifted or are new.
+
+    cached and what recompute returns have the keys and the epoch; epochs has one row for each key.
+    """
+    now = epochs.select(*keys, epoch)
+    valid = cached.join(now, [*keys, epoch], "left_semi")
+    stale = now.join(cached.select(*keys, epoch), [*keys, epoch], "left_anti")
+    return valid.unionByName(recompute(stale.select(*keys)).select(*cached.columns))
+
+
 def upsert_stream(changes: DataFrame, target: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
     """Keep a Parquet table of the newest row of each key from a stream; each batch writes a version and then points at it."""
 
