@@ -597,3 +597,31 @@ def test_queries_return_the_contract_columns(spark):
     assert {n.split("_")[0] for n in QUERIES} == set(want)
     for name, f in QUERIES.items():
         assert f(spark, SF).columns[: len(want[name.split("_")[0]].split())] == want[name.split("_")[0]].split()
+
+
+def test_toxic_stems_need_two_words(spark):
+    """A stem that clean texts hold once by chance speaks only where two of its words meet."""
+    import random
+
+    from weft.llm.toxicity import learn, score_toxicity
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    tails = [a + b for a in "bdgkm" for b in "aeiou"]
+    rows, marks = [], []
+    for i in range(800):
+        words = [word() for _ in range(30)]
+        toxic = i % 8 == 0
+        if toxic:
+            for tail in rng.sample(tails, 3):
+                words[rng.randrange(30)] = "zwurk" + tail
+        elif i % 4 == 1:
+            words[rng.randrange(30)] = "zwurk" + rng.choice(tails)
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks[:600], "doc_id long, toxic int")
+    assert [s[:5] for s in learn(docs, labels).stems] == ["zwurk"]
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, labels).collect()}
+    # two of the three places may coincide, which leaves some with fewer words
+    want = {i: int(len({w for w in t.split() if w.startswith("zwurk")}) > 1) for i, t in rows}
+    assert sum(got[i] != want[i] for i in range(600, 800)) == 0

@@ -7,9 +7,11 @@ threat against a target, or either one negated or reported. Clauses are scored,
 not isolated words.
 
 What counts as an insult is learned from a bounded sample of labelled texts:
-words, and beginnings of words that go on in many ways, whose evidence stands
-out among all that were tested. So are the weights of clause patterns. The
-sample's bound is ``per_class``; everything else covers all rows.
+first stems that two or more different words of a text carry on, then, from the
+texts without such stems, words and beginnings of words that go on in many
+ways. Each needs evidence that stands out among all that were tested. So are
+the weights of clause patterns. The sample's bound is ``per_class``; everything
+else covers all rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ CLEAN = 3
 #: Evidence, in nats beyond the logarithm of the number of features tested, that a lexicon entry needs.
 MARGIN = 3.0
 BEGINNINGS = range(3, 9)
+STEMS = range(4, 9)
 MOST_CANDIDATES = 20000
 #: A clause ends at a sentence mark or a line end.
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -113,43 +116,43 @@ _CLAUSES = pa.list_(pa.struct([("pattern", pa.string()), ("weight", pa.float64()
 
 @dataclass
 class Grammar:
-    """words and beginnings: weight of evidence (log odds) of each lexicon entry; patterns: what a clause pattern adds; rest: probability of a text without a match."""
+    """words, beginnings and stems (insults where two different words of a text carry them on): weight of evidence (log odds) of each lexicon entry; patterns: what a clause pattern adds; rest: probability of a text without a match."""
 
     words: dict[str, float] = field(default_factory=dict)
     beginnings: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
     patterns: dict[str, float] = field(default_factory=lambda: {"reported": -0.7, "negated": -0.7, "plain": 0.0, "directed": 0.5, "threat": 1.5})
     rest: float = 0.02
 
     def automaton(self):
         found = ahocorasick.Automaton()
-        for w, weight in self.words.items():
-            found.add_word(w, (len(w), True, weight))
-        for b, weight in self.beginnings.items():
-            if b not in self.words:
-                found.add_word(b, (len(b), False, weight))
-            else:
-                found.add_word(b, (len(b), False, max(weight, self.words[b])))
-        for w in THREAT:
-            if w not in self.words and w not in self.beginnings:
-                found.add_word(w, (len(w), True, None))
-        if len(found):
-            found.make_automaton()
+        for entry in {*self.words, *self.beginnings, *self.stems, *THREAT}:
+            found.add_word(entry, (entry, self.words.get(entry), self.beginnings.get(entry), self.stems.get(entry), entry in THREAT))
+        found.make_automaton()
         return found
 
     def clauses(self, text: str, automaton) -> list[tuple[str, float]]:
         """(pattern, weight) of each clause that has one."""
-        if not len(automaton):
-            return []
         text = text.lower()
         hits: dict[int, float | None] = {}
-        for end, (size, whole, weight) in automaton.iter(text):
-            at = end - size + 1
-            if at and text[at - 1].isalpha() or whole and end + 1 < len(text) and text[end + 1].isalpha():
+        carried: dict[tuple[str, float], dict[str, list[int]]] = {}
+        for end, (entry, word, beginning, stem, threat) in automaton.iter(text):
+            at = end - len(entry) + 1
+            if at and text[at - 1].isalpha():
                 continue
-            if weight is None:
+            goes_on = end + 1 < len(text) and text[end + 1].isalpha()
+            weights = [w for w in (beginning, None if goes_on else word) if w is not None]
+            if weights:
+                hits[at] = max(*weights, hits.get(at) or -99.0)
+            elif threat and not goes_on:
                 hits.setdefault(at, None)
-            else:
-                hits[at] = max(weight, hits.get(at) or -99.0)
+            if stem is not None and goes_on:
+                whole = WORD.match(text, at)
+                carried.setdefault((entry, stem), {}).setdefault(whole.group() if whole else entry, []).append(at)
+        for (_, weight), forms in carried.items():
+            if len(forms) > 1:
+                for at in (x for places in forms.values() for x in places):
+                    hits[at] = max(weight, hits.get(at) or -99.0)
         out, done = [], 0
         for at in sorted(hits):
             if at < done:
@@ -175,14 +178,18 @@ class Grammar:
 
 
 def _features(text: str) -> set[str]:
-    """The distinct words of a text (marked by a final $) and their beginnings."""
-    out = set()
+    """The distinct words of a text (marked by a final $), their beginnings, and the stems that two of them carry on (a final +)."""
+    out, once = set(), set()
     for w in set(WORD.findall(text.lower())):
         out.add(w + "$")
         for k in BEGINNINGS:
             if k > len(w):
                 break
             out.add(w[:k])
+            if k in STEMS and k < len(w):
+                if w[:k] in once:
+                    out.add(w[:k] + "+")
+                once.add(w[:k])
     return out
 
 
@@ -219,19 +226,20 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Gra
         return Grammar()
     clean, toxic = size.get(0, 0), size[1]
     base = toxic / (clean + toxic) if clean else 0.5
-    counted = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n >= 3")
-    tested = counted.count()
-    q = F.col("bad") / F.col("n")
-    gain = F.col("bad") * F.log(q / base) + F.when(q < 1, (F.col("n") - F.col("bad")) * F.log((1 - q) / (1 - base))).otherwise(0.0)
-    sure = counted.where((q >= 0.6) & (gain >= math.log(max(2, tested)) + MARGIN))
-    found = {r["feature"]: (r["bad"], r["n"]) for r in sure.orderBy(F.desc("bad"), "feature").limit(MOST_CANDIDATES).collect()}
     grammar = Grammar()
+    found = _evidence(sample, base, ~F.col("feature").endswith("+"))
+    stems = {f[:-1]: n for f, n in _evidence(sample, base, F.col("feature").endswith("+")).items()}
+    for entry in choose(stems):
+        if not any(_as_good(found.get(b), stems[entry]) for b in [entry[:k] for k in BEGINNINGS] + [b for b in found if b.startswith(entry)]):
+            grammar.stems[entry] = _weight(*stems[entry])
+    if grammar.stems:
+        # what speaks without the stems: words that only go along with them do not
+        left = sample.where(~F.arrays_overlap("features", F.array(*[F.lit(x + "+") for x in grammar.stems])))
+        found = _evidence(left, base, ~F.col("feature").endswith("+"))
     for entry in choose(found):
-        bad, n = found[entry]
-        weight = math.log((bad + 0.5) / (n - bad + 0.5))
-        (grammar.words if entry.endswith("$") else grammar.beginnings)[entry.rstrip("$")] = weight
-    if grammar.words or grammar.beginnings:
-        entries = F.broadcast(docs.sparkSession.createDataFrame([(f"{w}$",) for w in grammar.words] + [(b,) for b in grammar.beginnings], "feature string"))
+        (grammar.words if entry.endswith("$") else grammar.beginnings)[entry.rstrip("$")] = _weight(*found[entry])
+    if grammar.words or grammar.beginnings or grammar.stems:
+        entries = F.broadcast(docs.sparkSession.createDataFrame([(f"{w}$",) for w in grammar.words] + [(b,) for b in grammar.beginnings] + [(f"{x}+",) for x in grammar.stems], "feature string"))
         hit = sample.where("toxic = 1").select("origin", F.explode("features").alias("feature")).join(entries, "feature").agg(F.countDistinct("origin")).first()[0]
         grammar.rest = max(0.001, min(0.2, (toxic - hit + 0.5) / (clean + toxic - hit + 1)))
     else:
@@ -239,6 +247,25 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Gra
     return grammar
 
 
+def _weight(bad: int, n: int) -> float:
+    return math.log((bad + 0.5) / (n - bad + 0.5))
+
+
+def _as_good(plain: tuple[int, int] | None, stem: tuple[int, int]) -> bool:
+    """Whether a plain beginning finds the toxic texts of a stem about as purely: then one word of it is enough."""
+    return plain is not None and plain[0] >= 0.95 * stem[0] and plain[0] * stem[1] >= 0.95 * stem[0] * plain[1]
+
+
+def _evidence(sample: DataFrame, base: float, family) -> dict[str, tuple[int, int]]:
+    """(toxic texts, texts) of the features of a family whose evidence stands out among all of the family."""
+    counted = materialize(sample.select("toxic", F.explode("features").alias("feature")).where(family).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n >= 3"), "toxicity")
+    tested = counted.count()
+    q = F.col("bad") / F.col("n")
+    gain = F.col("bad") * F.log(q / base) + F.when(q < 1, (F.col("n") - F.col("bad")) * F.log((1 - q) / (1 - base))).otherwise(0.0)
+    sure = counted.where((q >= 0.6) & (gain >= math.log(max(2, tested)) + MARGIN))
+    return {r["feature"]: (r["bad"], r["n"]) for r in sure.orderBy(F.desc("bad"), "feature").limit(MOST_CANDIDATES).collect()}
+
+
 def choose(found: dict[str, tuple[int, int]]) -> list[str]:
     """Lexicon entries among words (with a final $) and beginnings that speak for toxicity.
 
@@ -310,7 +337,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     """
     prepare(docs.sparkSession)
     grammar = learn(docs, labels, per_class)
-    if grammar.words or grammar.beginnings:
+    if grammar.words or grammar.beginnings or grammar.stems:
         grammar = _tune(docs, labels, grammar, per_class)
 
     def work(batches):
