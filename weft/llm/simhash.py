@@ -158,7 +158,10 @@ def links(home: np.ndarray, visit: np.ndarray, bits: int) -> np.ndarray:
 def link_forest(points: DataFrame, bits: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fingerprint), enough of them to connect all that are connected."""
     total = points.count()
-    sample = points.orderBy(F.xxhash64(F.col("fingerprint"), F.lit(1))).limit(SAMPLE).toPandas()["fingerprint"].to_numpy(np.int64).view(U64)
+    # the points of smallest hash; a cut first, or every partition would send as many
+    place = F.shiftrightunsigned(F.xxhash64(F.col("fingerprint"), F.lit(1)), 1)
+    cut = min(2**63 - 1, 2**63 * 2 * SAMPLE // max(1, total))
+    sample = points.where(place <= cut).orderBy(place).limit(SAMPLE).toPandas()["fingerprint"].to_numpy(np.int64).view(U64)
     tree = grow(sample, max(1, -(-total // SHARD)))
 
     def deal(batches):
