@@ -196,7 +196,13 @@ def _features(text: str) -> set[str]:
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Up to per_class toxic texts and CLEAN times as many others, chosen by a hash of doc_id; equal texts count once. A doc_id with several labels is toxic if one says so."""
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.least(F.greatest(F.col("toxic").cast("int"), F.lit(0)), F.lit(1)).alias("toxic"))
-    picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((0, CLEAN * per_class), (1, per_class))]
+    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # two rows
+    place = F.xxhash64("doc_id")
+    picked = []
+    for k, n in ((0, CLEAN * per_class), (1, per_class)):
+        # a cut first, or every partition would send n rows to the sort
+        cut = min(2**63 - 1, -(2**63) + 2**64 * 2 * n // max(1, counts.get(k, 0)))
+        picked.append(known.where((F.col("toxic") == k) & (place <= cut)).orderBy(place, "doc_id").limit(n))
     ids = picked[0].union(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most (1 + CLEAN) * per_class ids
     return rows.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
