@@ -392,6 +392,21 @@ def test_html_awkward(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_stray_quotes_keep_the_rest_of_the_page():
+    from weft.llm.html_extract import Page
+
+    text = lambda s: "".join(t for _, t, _ in Page(s).events if t).strip()
+    assert text("<p title=it's>Hello</p><p>more</p>") == "Hellomore"
+    assert text('<a href="x"">Link</a><p>text</p>') == "Linktext"
+    assert text('<img alt="5" tall" src=x><p>rest</p>') == "rest"
+    assert text("<p title=it's>It's</p><p>isn't</p>") == "It'sisn't"
+    assert text('<p title="a > b" lang=\'d>e\'>in</p>') == "in"
+    assert text('<p title="x>hello</p><p class="y') == "hello"
+    assert text("a </3> b <é> c<p") == "a  b <é> c"
+    for part in ('<a b=">" ', '<a b="x>', "<a b='", "<a ", "</ "):
+        assert len(text(part * 100000)) <= len(part) * 100000
+
+
 # --- 8 packing
 
 

@@ -28,7 +28,12 @@ from pyspark.sql import functions as F
 from . import boosting
 from .common import prepare
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+COMMENT, DECLARATION = r"<!--.*?(?:-->|\Z)", r"<(?:[!?]|/(?![a-zA-Z]))[^>]*>"
+#: Quotes count directly after an equals sign only, and one without a partner is a letter like any other.
+TAG = re.compile(COMMENT + r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))?)*+)>|""" + DECLARATION, re.S)
+#: Tags that end at the first > whatever the quotes.
+LOOSE = re.compile(COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|" + DECLARATION, re.S)
+OPENS = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop|y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed sets of HTML element names.
@@ -75,19 +80,23 @@ class Page:
         events = self.events
         links = 0
         at = 0
+        rule = TAG
         while True:
             lo = s.find("<", at)
             if lo > at or lo < 0 and at < len(s):
                 events.append((stack[-1][1], s[at : lo if lo >= 0 else len(s)], links > 0))
             if lo < 0:
                 return
-            m = TAG.match(s, lo)
-            if m is None:
-                if s[lo + 1 : lo + 2].isalpha() or s[lo + 1 : lo + 2] in ("/", "!", "?"):
-                    return  # the page ends inside a tag
+            if not OPENS.match(s, lo):
                 events.append((stack[-1][1], "<", links > 0))
                 at = lo + 1
                 continue
+            m = rule.match(s, lo)
+            if m is None:  # every later > stands in a quoted value of this tag; the rest of the page is read loosely, which keeps it linear
+                rule = LOOSE
+                m = rule.match(s, lo)
+                if m is None:
+                    return  # the page ends inside a tag
             at = m.end()
             tag = m[2]
             if tag is None:
