@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +332,20 @@ def test_language_model(spark, awkward, empty):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in none)
 
 
+def test_language_model_learns_from_every_position(spark):
+    from weft.llm.maxent_lm import Tokens, score_corpus
+
+    r = random.Random(3)
+    few = ["red", "blue", "green", "black", "white", "brown", "pink", "grey"]
+    docs = frame(spark, [(i, " ".join(r.choice(few) for _ in range(3))) for i in range(30000)]).coalesce(1)
+    got = score_corpus(docs, F.col("doc_id") >= 27000).where("held_out").agg(F.avg("score")).first()[0]
+    # three words out of eight and then the end, which is the fourth token of every text
+    assert got > 3 * math.log10(1 / 8) - 0.3
+    tokens = Tokens(pa.chunked_array([pa.array(["a b c", "", "a", "a b c d e f g h i", None])]))
+    for rounds in (1, 3, 5):
+        assert sorted(np.concatenate([tokens.dealt(t, rounds) for t in range(rounds)])) == list(range(len(tokens.keys)))
+
+
 def test_class_probabilities_sum_to_one():
     from weft.llm.maxent_lm import CLASSES, SLOTS, TEMPLATES, Weights
 

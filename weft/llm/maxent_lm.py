@@ -10,8 +10,9 @@ word for each class.
 Counts are exact over all training tokens and come from a group/bucket
 exchange. The weights are trained by distributed updates: in every round each
 task runs adaptive gradient steps over its part of the training documents
-(every fourth position, other ones in each round), the differences are averaged in two levels of partial
-sums, and the next round starts from the mean. Texts are scored in numpy
+(the rounds deal out the positions of each text, so that every one is seen
+once), the differences are averaged in two levels of partial sums, and the next
+round starts from the mean. Texts are scored in numpy
 batches.
 """
 
@@ -37,7 +38,6 @@ END_CLASS = CLASSES - 1
 SLOTS = 4096
 TEMPLATES = 4
 ROUNDS = 3
-EVERY = 4
 BATCH = 2048
 SLICES = 16
 END_KEY = U64(0xFFFFFFFFFFFFFFC0 | 63)
@@ -72,6 +72,10 @@ class Tokens:
         self.ending[word] = (ending >> U64(52)).astype(np.int64)
         self.place = np.arange(n) - self.bounds[:-1][self.owner] if n else np.empty(0, np.int64)
 
+    def dealt(self, turn: int, rounds: int) -> np.ndarray:
+        """The tokens of one of the rounds, by place and length of the text alone; each is in exactly one."""
+        return np.flatnonzero((self.place + np.diff(self.bounds)[self.owner]) % rounds == turn)
+
     def classes(self, singles: np.ndarray) -> np.ndarray:
         """Class of each token; singles are sorted keys of the words with a class of their own."""
         out = self.shape.copy()
@@ -224,7 +228,7 @@ class Classes:
         return np.log((self.size + 0.5) / (self.size.sum() + 0.5 * CLASSES)).astype(np.float32)
 
 
-def _train(rows: DataFrame, weights: Weights, singles: np.ndarray, turn: int) -> Weights:
+def _train(rows: DataFrame, weights: Weights, singles: np.ndarray, turn: int, rounds: int) -> Weights:
     """One round: the mean of what the tasks' steps make of the weights."""
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast((weights.table, weights.bias, singles))  # fixed size
@@ -246,7 +250,7 @@ def _train(rows: DataFrame, weights: Weights, singles: np.ndarray, turn: int) ->
                 tokens = Tokens(column.slice(lo, hi - lo))
                 lo = hi
                 classes = tokens.classes(known)
-                take = np.arange(turn % EVERY, len(classes), EVERY)
+                take = tokens.dealt(turn, rounds)
                 step_through(own, tokens.features(classes)[take], classes[take], square)
                 seen += len(take)
         salt = TaskContext.get().partitionId() % 16
@@ -335,6 +339,6 @@ def score_corpus(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> Dat
     weights = Weights(np.zeros((TEMPLATES * SLOTS, CLASSES), np.float32), classes.bias())
     learn = docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col("text").cast("string").alias("text"))
     for turn in range(rounds if classes.tokens else 0):
-        weights = _train(learn, weights, classes.singles, turn)
+        weights = _train(learn, weights, classes.singles, turn, rounds)
     held = spark.sparkContext.broadcast((weights.table, weights.bias))
     return X.finish(rows, known.where("kind >= 0"), _finish(buckets, classes, held), SCHEMA)
