@@ -124,6 +124,22 @@ def test_language_awkward(spark, awkward, empty):
         langid.BLOCK = 1 << 18
 
 
+def test_language_learned_beside_one_hot_text(spark):
+    from weft.llm.langid import identify, learn
+
+    def some(words, n, seed):
+        r = random.Random(seed)
+        return [" ".join(r.choice(words.split()) for _ in range(12)) for _ in range(n)]
+
+    en, fr = "the cat and dog with house window water green morning", "le chat et chien avec maison fenêtre verte matin eau"
+    texts = spark.createDataFrame([(t, "en") for t in some(en, 60, 1)] + [(t, "fr") for t in some(fr, 60, 2)], "text string, lang string")
+    for hot in ("chat", "zéro", "quatorze"):  # one of them is likely to fall above a threshold that counts rows, whatever the hash
+        train = texts.unionByName(spark.range(200000).select(F.lit(hot).alias("text"), F.lit("fr").alias("lang")))
+        assert learn(train, 10).labels == ["en", "fr"]
+        docs = frame(spark, list(enumerate(some(en, 30, 3) + some(fr, 30, 4))))
+        assert [r.lang_pred for r in sorted(identify(docs, train, 10).collect(), key=lambda r: r.doc_id)] == ["en"] * 30 + ["fr"] * 30
+
+
 # --- 3 substring
 
 

@@ -9,7 +9,7 @@ equally near are flagged as ambiguous.
 Features are hashed relative frequencies of 1- to 4-grams, so a text's score is
 the mean of the weights of its n-grams: one pass with array operations,
 whatever its length. The classifiers are fitted on a bounded sample:
-``per_lang`` texts of each language.
+``per_lang`` different texts of each language.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import materialize, prepare
 
 PER_LANG = 600
 BITS = 15
@@ -156,27 +156,30 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 60) ->
 
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fit on up to per_lang texts of each lang value (chosen by a hash of the text); at most MOST_LANGS languages, the most frequent ones."""
+    """Fit on up to per_lang different texts of each lang value (chosen by a hash of the text); at most MOST_LANGS languages, the most frequent ones."""
     prepare(docs.sparkSession)
-    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    # copies are one text from here on
+    keys = materialize(known.groupBy("lang", "key").agg(F.count("*").alias("n")), "languages")
+    counts = keys.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
     # a hash threshold for each language leaves about four times what is kept, so that ranking sees few rows
-    limit = {r["lang"]: min(1.0, 4 * per_lang / r["count"]) for r in counts}
+    limit = {r["lang"]: min(1.0, 4 * per_lang / r["texts"]) for r in counts}
     if not limit:
         return fit([])
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    h = F.pmod("key", F.lit(1 << 20)) / float(1 << 20)
     few = F.broadcast(docs.sparkSession.createDataFrame(list(limit.items()), "lang string, share double"))
-    near = known.join(few, "lang").where(h < F.col("share"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(h, F.xxhash64("text", F.lit(1))))).where(F.col("rank") <= per_lang)
+    near = keys.join(few, "lang").where(h < F.col("share"))
+    picked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(h, "key"))).where(F.col("rank") <= per_lang).select("lang", "key")
+    chosen = known.join(F.broadcast(picked), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))  # at most per_lang * MOST_LANGS keys
 
     def count(batches):
         for batch in batches:
-            made = [slot_counts(t) for t in batch.column(1).to_pylist()]
+            made = [slot_counts(t) for t in batch.column(2).to_pylist()]
             at = [np.flatnonzero(c) for c in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a].astype(np.int32) for c, a in zip(made, at, strict=True)], pa.list_(pa.int32()))], names=["lang", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a].astype(np.int32) for c, a in zip(made, at, strict=True)], pa.list_(pa.int32()))], names=["lang", "key", "slots", "counts"])
 
-    held = ranked.select("lang", "text").mapInArrow(count, "lang string, slots array<int>, counts array<int>")
-    rows = held.where(F.size("slots") > 0).toArrow()
+    held = chosen.select("lang", "key", "text").mapInArrow(count, "lang string, key long, slots array<int>, counts array<int>")
+    rows = held.where(F.size("slots") > 0).toArrow().sort_by([("lang", "ascending"), ("key", "ascending")])
     samples = [(a.as_py(), np.asarray(b.values), np.asarray(c.values)) for a, b, c in zip(rows["lang"], rows["slots"], rows["counts"], strict=True)]
     return fit(samples)
 
