@@ -564,6 +564,20 @@ def test_grammar_scores_clauses():
     assert score("") == g.rest
 
 
+def test_grammar_reads_long_clauses_whole():
+    from weft.llm.toxicity import Grammar
+
+    g = Grammar(words={"idiot": 2.0})
+    m = g.automaton()
+    kinds = lambda t: [p for p, _ in g.clauses(t, m)]
+    far = "word " * 300
+    assert kinds(f"you {far} kill") == ["threat"]
+    assert kinds(f"you {far} idiot") == ["directed"]
+    assert kinds(f"fine. you {far} idiot. an idiot") == ["directed", "plain"]
+    assert kinds(f"idiot {far} idiot {far} you") == ["directed"]
+    assert kinds(f"{far} idiot {far}! you {far}") == ["plain"]
+
+
 def test_toxicity_awkward(spark, awkward, empty):
     from weft.llm.toxicity import score_toxicity
 

@@ -153,16 +153,21 @@ class Grammar:
             if len(forms) > 1:
                 for at in (x for places in forms.values() for x in places):
                     hits[at] = max(weight, hits.get(at) or -99.0)
-        out, done = [], 0
-        for at in sorted(hits):
-            if at < done:
+        out: list[tuple[str, float]] = []
+        if not hits:
+            return out
+        places = sorted(hits)
+        lo = i = 0  # where the clause starts, and the first hit that is not before it
+        for stop, after in [*((m.start(), m.end()) for m in CLAUSE.finditer(text)), (len(text), len(text))]:
+            first = i
+            while i < len(places) and places[i] < stop:
+                i += 1
+            if i == first:
+                lo = after
                 continue
-            lo = max((m.end() for m in CLAUSE.finditer(text, max(0, at - 400), at)), default=max(0, at - 400))
-            stop = CLAUSE.search(text, at)
-            done = stop.start() if stop else len(text)
-            hi = min(done, at + 400) if not any(at < h < done for h in hits) else done
-            weights = [w for h, w in hits.items() if lo <= h < hi and w is not None]
-            kinds = [INSULT if hits.get(m.start()) is not None else word_class(m.group()) for m in WORD.finditer(text, lo, hi)]
+            weights = [w for h in places[first:i] if (w := hits[h]) is not None]
+            kinds = [INSULT if hits.get(m.start()) is not None else word_class(m.group()) for m in WORD.finditer(text, lo, stop)]
+            lo = after
             pattern = PATTERNS[_MACHINE.read(kinds)]
             if pattern != "none":
                 out.append((pattern, max(weights, default=self.patterns["threat"])))
