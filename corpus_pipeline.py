@@ -31,18 +31,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near duplicates; rows without a doc_id stay unless a group has one with."""
+    """Keep one row of each group of near duplicates: the one with the smallest doc_id (null after all others), then the smallest row hash."""
     from weft.llm.simhash import near_duplicates
 
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_weft_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_weft_id"], "left_semi")
-    first = kept.dropDuplicates(["doc_id"])  # repeated rows of one doc_id
-    nameless = docs.where("doc_id is null")
-    alone = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    if nameless.limit(1).count() and alone.limit(1).count():
-        return first.unionByName(nameless.dropDuplicates(["text"]))
-    return first
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
+    keep = near_duplicates(docs, with_key=True).groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.row_key").alias("_weft_key"))
+    keyed = docs.withColumn("_weft_row", _row_key(docs))
+    kept = keyed.join(keep, F.col("_weft_row") == F.col("_weft_key"), "left_semi")
+    return kept.dropDuplicates(["_weft_row"]).select(*docs.columns)  # repeated rows
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -638,6 +638,16 @@ def test_pipeline_awkward(spark, awkward, tmp_path):
     assert got and {r.doc_id for r in got} <= {d for d, _ in awkward}
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as P
+
+    one, two, three = (" ".join(words_of(200, seed, 10**6)) for seed in (11, 12, 13))
+    rows = [(None, one), (None, one + " "), (5, two), (None, two), (5, three), (5, three), (6, three), (7, one + "  "), (None, "some other text of its own"), (None, "some other text of its own ")]
+    assert brute_fingerprint(one) == brute_fingerprint(one + " ")
+    got = [(r.doc_id, r.text.rstrip()) for r in P.simhash_near_dedup(spark, frame(spark, rows), SF).collect()]
+    assert sorted(got, key=repr) == sorted([(7, one), (5, two), (5, three), (None, "some other text of its own")], key=repr)
+
+
 @needs_tables
 def test_queries_return_the_contract_columns(spark):
     from weft.llm.queries import QUERIES

@@ -53,15 +53,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long) of each row."""
+    """doc_id, row_key (hash of doc_id and text) and fingerprint (the 64 bits as a signed long) of each row."""
     prepare(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
             bits = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits.view(np.int64))], names=["doc_id", "row_key", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_key")).mapInArrow(work, "doc_id long, row_key long, fingerprint long")
 
 
 def _distance(points: np.ndarray, centre: np.uint64) -> np.ndarray:
@@ -180,14 +180,15 @@ def link_forest(points: DataFrame, bits: int = 2) -> DataFrame:
     return points.select("fingerprint").mapInArrow(deal, "shard int, home boolean, point long").groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, with_key: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row.
 
     Texts whose fingerprints differ in `bits` or fewer bits are linked;
     component_id is the smallest doc_id that can be reached over links, itself
     included. docs needs doc_id and text; other columns are ignored. Null and
     wordless texts have fingerprint 0 and link like any other; a null doc_id
-    takes part but never names a component (null if no other does).
+    takes part but never names a component (null if no other does). with_key
+    adds row_key (hash of doc_id and text) and root, which every component has.
     """
     marked = materialize(fingerprints(docs, width), "fingerprints")
     # copies are one point from here on
@@ -195,5 +196,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame
     roots = components(link_forest(points, bits))
     joined = points.join(roots, points["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(named, "root").select("fingerprint", "component_id")
-    return marked.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    of = joined.join(named, "root").select("fingerprint", "component_id", "root")
+    return marked.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *(["row_key", "root"] if with_key else []))
