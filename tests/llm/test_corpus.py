@@ -185,6 +185,20 @@ def test_substring_tables(spark):
     assert got == brute_words([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_unequal_words_stay_apart(spark):
+    """Two words that collide under every polynomial hash modulo 2**64."""
+    from weft.llm.substring_dedup import dedup_substrings
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(words_of(49, 5))
+    rows = [(1, f"{rest} {word}"), (2, f"{rest} {other}"), (3, f"{rest} {word}")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup_substrings(frame(spark, rows)).collect())
+    assert got == brute_words(rows) and {r[2] for r in got} == {0, 50}
+
+
 # --- 4 decontamination
 
 
@@ -535,6 +549,18 @@ def test_suffixes_awkward(spark, awkward, empty):
     assert dedup_suffixes(empty).count() == 0
 
 
+def test_suffixes_of_a_split_pick(spark):
+    """A passage that many documents share between unlike ends, split over many buckets."""
+    from weft.llm.suffix_dedup import dedup_suffixes
+
+    r = random.Random(3)
+    passage = " ".join(words_of(60, 9))
+    rows = [(i, f"{' '.join(words_of(12, 100 + i % 70))}{r.choice(['. ', ' '])}{passage}{r.choice('!?')} {' '.join(words_of(r.choice([5, 20]), 300 + i % 50))}") for i in range(240)]
+    rows += [(7, rows[7][1]), (None, rows[3][1])]
+    got = [collections.Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in dedup_suffixes(frame(spark, rows), hot=h).collect()) for h in (3, 50)]
+    assert got[0] == got[1] == brute_bytes(rows)
+
+
 @needs_tables
 def test_suffixes_tables(spark):
     from weft.llm.suffix_dedup import dedup_suffixes

@@ -1,8 +1,10 @@
 """Vectorised hashing of bytes and words with numpy.
 
-Polynomial hashes modulo 2**64 over random per-byte values: a prefix sum gives
-the hash of any substring with two gathers and one multiplication by an inverse
-power, so every window of a text costs a few array operations.
+Words are told apart by their bytes (a dictionary for each group of texts) and
+known elsewhere by the 128 bits of XXH3; runs of words by two independent
+hashes that join halves with a mixing function. The polynomial hashes modulo
+2**64 of bytes below only place work (which windows pick which place); they
+never decide that two texts are equal.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 NO_DOC = np.iinfo(np.int64).max  # stands for a null doc_id: later than any other
@@ -129,10 +132,55 @@ def span_hashes(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     return hashes
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and where each row's words start (one more entry than rows)."""
+def distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of some rows, the number of each word in their order, and where each row's words start (one more entry than rows). Words are told apart by their bytes."""
     at, to = word_spans(data, starts)
-    return span_hashes(data, at, to), np.searchsorted(at, starts)
+    bounds = np.searchsorted(at, starts)
+    if not len(at):
+        return [], np.empty(0, np.int64), bounds
+    size = to - at
+    if (size == 0).any() or size.sum() >= 1 << 31:
+        raise ValueError("a group holds more than two gigabytes of words")
+    offsets = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(size, out=offsets[1:])
+    packed = data[~_SPACE[data]]
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), bounds
+
+
+def digests(items: list[bytes], seed: int = 0) -> np.ndarray:
+    """The 128 bits of XXH3 of each item as two columns."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, seed) for x in items]), U64).reshape(-1, 2)
+
+
+def word_lanes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes for each word, the halves of the 128 bits of XXH3 of its bytes, and where each row's words start."""
+    words, index, bounds = distinct_words(data, starts)
+    both = digests(words)
+    return both[:, 0][index], both[:, 1][index], bounds
+
+
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = left * U64(0x9FB21C651E98DF25)
+    x += right
+    return mix(x)
+
+
+def runs_of(values: np.ndarray, length: int) -> np.ndarray:
+    """A hash of values[i:i+length] for each i where that fits: halves are joined by a mixing function, so that no sum or power can cancel."""
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.empty(0, U64)
+    out, done, size, now = None, 0, 1, values
+    while True:
+        if length & size:
+            part = now[done:]
+            out = part if out is None else _join(out[: len(part)], part)
+            done += size
+        if size * 2 > length:
+            return out[:n] if done > 1 else mix(out[:n] + U64(1))
+        now = _join(now[:-size], now[size:])
+        size *= 2
 
 
 def member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -72,6 +72,11 @@ def reply(asked: DataFrame, answer: Callable[[pa.Table], Iterable[tuple[int, int
     return asked.groupBy("bucket").applyInArrow(lambda t: answers(answer(t)), ANSWER)
 
 
+def pass_on(asked: DataFrame, answer: Callable[[pa.Table], Iterable[tuple[int, int, int, bytes]]]) -> DataFrame:
+    """Further messages of each bucket, from those it got."""
+    return asked.groupBy("bucket").applyInArrow(lambda t: messages(answer(t)), MESSAGE)
+
+
 def finish(docs: DataFrame, known: DataFrame, result: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     return docs.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(result, schema)
 

@@ -14,9 +14,10 @@ while hashing 6 of 31 positions.
    buckets answer with a smaller doc_id if another group has one.
 3. Each document marks the words of the windows that start in a smaller one.
 
-Bounded memory: a task sees one group (4 to 32 MB of text) or one bucket. A
-window's key has 64 bits and its bucket comes from a second hash, so chance
-collisions stay below one in 2**64 times the number of buckets.
+Bounded memory: a task sees one group (4 to 32 MB of text) or one bucket. Words
+are equal if their bytes are within a group and if the 128 bits of XXH3 of their
+bytes are between groups; a window's key has 128 bits from two independent
+hashes of its words, and both are compared wherever windows are.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from . import bytesops as B
@@ -57,7 +59,7 @@ class _Group:
         self.cover = cover
         self.data, self.starts = B.text_buffer(table["text"])
         self.docs = B.doc_ids(table["doc_id"])
-        self.words, self.bounds = B.word_hashes(self.data, self.starts)
+        self.words, self.second, self.bounds = B.word_lanes(self.data, self.starts)
         self.owner = np.repeat(np.arange(len(self.docs)), np.diff(self.bounds))
         self.place = np.arange(len(self.words)) - self.bounds[:-1][self.owner] if len(self.words) else np.empty(0, np.int64)
         self.left = self.bounds[1:][self.owner] - np.arange(len(self.words)) if len(self.words) else np.empty(0, np.int64)
@@ -66,7 +68,7 @@ class _Group:
         """Places and hashes of the anchor windows."""
         c = self.cover
         at = np.flatnonzero(c.at[self.place % c.period] & (self.left >= c.width)) if len(self.words) else np.empty(0, np.int64)
-        return at, B.windows(self.words, c.width)[at]
+        return at, B.runs_of(self.words, c.width)[at]
 
     def grp(self, table: pa.Table) -> int:
         return table["grp"][0].as_py()
@@ -81,13 +83,20 @@ def _send_anchors(buckets: int, cover: Cover):
     return send
 
 
-def _pairs(keys: np.ndarray, docs: np.ndarray) -> bytes:
-    return len(keys).to_bytes(8, "little") + keys.tobytes() + docs.tobytes()
+def _pairs(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> bytes:
+    """Both halves of window keys with a doc_id each; runs of one document pack well."""
+    return len(keys).to_bytes(8, "little") + keys.tobytes() + checks.tobytes() + zstandard.compress(docs.tobytes(), 1)
 
 
-def _unpair(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(memoryview(payload)[:8], "little")
-    return np.frombuffer(payload, U64, n, 8), np.frombuffer(payload, np.int64, n, 8 + 8 * n)
+def _unpair(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    view = memoryview(payload)
+    n = int.from_bytes(view[:8], "little")
+    return np.frombuffer(payload, U64, n, 8), np.frombuffer(payload, U64, n, 8 + 8 * n), np.frombuffer(zstandard.decompress(view[8 + 16 * n :]), np.int64)
+
+
+def _heads(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where a new window key begins, for sorted keys."""
+    return np.concatenate(([True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]))) if len(keys) else np.empty(0, bool)
 
 
 def _send_windows(buckets: int, cover: Cover):
@@ -119,11 +128,11 @@ def _send_windows(buckets: int, cover: Cover):
         starts = np.flatnonzero(close)
         if not len(starts):
             return
-        full = B.windows(g.words, cover.window)[starts]
+        full, check = B.runs_of(g.words, cover.window)[starts], B.runs_of(g.second, cover.window)[starts]
         docs = g.docs[g.owner[starts]]
-        order = np.lexsort((docs, full))
-        full, docs, starts = full[order], docs[order], starts[order]
-        head = np.concatenate(([True], full[1:] != full[:-1]))
+        order = np.lexsort((docs, check, full))
+        full, check, docs, starts = full[order], check[order], docs[order], starts[order]
+        head = _heads(full, check)
         cls = np.cumsum(head) - 1
         firsts = np.flatnonzero(head)
         several = np.zeros(len(firsts), bool)
@@ -133,12 +142,12 @@ def _send_windows(buckets: int, cover: Cover):
         grp = g.grp(table)
         mine = firsts[several]
         if len(mine):  # decided here; a bucket only hands it on
-            yield grp % buckets, grp, 1, _pairs(full[mine], docs[mine])
+            yield grp % buckets, grp, 1, _pairs(full[mine], check[mine], docs[mine])
         out = firsts[abroad_cls]
+        out = out[np.argsort(starts[out])]  # in page order the doc_ids come in runs
         if len(out):
-            keys, low = full[out], docs[out]
-            second = B.windows(g.words, cover.window, seed=1)[starts[out]]
-            yield from X.deal(grp, X.bucket_of(second, buckets), buckets, lambda i: _pairs(keys[i], low[i]))
+            keys, checks, low = full[out], check[out], docs[out]
+            yield from X.deal(grp, X.bucket_of(keys, buckets), buckets, lambda i: _pairs(keys[i], checks[i], low[i]))
 
     return send
 
@@ -149,40 +158,46 @@ def _smaller_elsewhere(table: pa.Table) -> Iterator:
     parts = [(g, *_unpair(p)) for g, p in X.payloads(table, 0)]
     if not parts:
         return
-    keys = np.concatenate([k for _, k, _ in parts])
-    docs = np.concatenate([d for _, _, d in parts])
-    order = np.lexsort((docs, keys))
-    head = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+    keys, checks, docs = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    order = np.lexsort((docs, checks, keys))
+    head = _heads(keys[order], checks[order])
     least = np.empty_like(docs)
     least[order] = docs[order][np.flatnonzero(head)][np.cumsum(head) - 1]
     at = 0
-    for g, k, d in parts:
+    for g, k, c, d in parts:
         low = least[at : at + len(k)]
         at += len(k)
         less = low < d
         if less.any():
-            yield g, 0, _pairs(k[less], low[less])
+            yield g, 0, _pairs(k[less], c[less], low[less])
 
 
 def _finish(cover: Cover):
     def result(table: pa.Table, known: pa.Table) -> pa.Table:
         g = _Group(table, cover)
         parts = [_unpair(p) for _, p in X.payloads(known)]
-        keys = np.concatenate([k for k, _ in parts] or [np.empty(0, U64)])
-        least = np.concatenate([d for _, d in parts] or [np.empty(0, np.int64)])
-        order = np.lexsort((least, keys))
-        keys, least = keys[order], least[order]
-        if len(keys):
-            head = np.concatenate(([True], keys[1:] != keys[:-1]))
-            keys, least = keys[head], least[head]
+        keys, checks = (np.concatenate([p[i] for p in parts] or [np.empty(0, U64)]) for i in (0, 1))
+        least = np.concatenate([p[2] for p in parts] or [np.empty(0, np.int64)])
+        order = np.lexsort((least, checks, keys))
+        keys, checks, least = keys[order], checks[order], least[order]
+        head = _heads(keys, checks)
+        keys, checks, least = keys[head], checks[head], least[head]
         gone = np.zeros(len(g.words), bool)
         if len(keys) and len(g.words) >= cover.window:
-            full = B.windows(g.words, cover.window)
+            full, second = B.runs_of(g.words, cover.window), B.runs_of(g.second, cover.window)
             fits = g.left[: len(full)] >= cover.window
             hit, place = B.member(full, keys)
             at = np.flatnonzero(hit)
-            take = fits[at] & (g.docs[g.owner[at]] > least[place])
-            at = at[take]
+            while len(at):  # nearly always one turn: keys of equal first half follow each other
+                same = checks[place] == second[at]
+                yes = at[same][g.docs[g.owner[at[same]]] > least[place[same]]]
+                gone[yes] = True
+                more = ~same & (place + 1 < len(keys))
+                at, place = at[more], place[more] + 1
+                more = keys[place] == full[at]
+                at, place = at[more], place[more]
+            gone[: len(full)] &= fits
+            at = np.flatnonzero(gone)
             gone = B.spans_to_cover(at, at + cover.window, len(g.words))
         texts = table["text"].to_pylist()
         rows = []

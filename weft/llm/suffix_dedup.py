@@ -10,15 +10,20 @@ Burrows-Wheeler transforms of the text that can repeat at all:
 2. Consecutive windows with one pick form a fragment. Fragments whose pick
    recurs go, one copy of each text from each group, to the bucket of the pick,
    so all windows that could be equal meet there.
-3. A bucket joins the distinct fragments of recurring picks, sorts suffixes to
-   the threshold, forms the transform and expands intervals breadth-first by
-   backward extension: common prefixes come out by increasing length, and the
-   expansion stops at 100. Suffixes that no boundary parts share 100 bytes;
-   all but the earliest window of such a class are repeats.
+3. A bucket joins the fragments of recurring picks, each different text once and
+   a text that occurs again a second time, sorts suffixes to the threshold, forms
+   the transform and expands intervals breadth-first by backward extension:
+   common prefixes come out by increasing length, and the expansion stops at
+   100. Suffixes that no boundary parts share 100 bytes; all but the earliest
+   window of such a class are repeats. Copies of a text inside a group of
+   documents are found the same way there.
 4. Each document drops the bytes that repeats cover.
 
-Batches of fragments bound the memory of a task; only the windows of one pick
-have to meet.
+Texts are told apart by their bytes. A pick with more than HOT texts (the edge
+of a passage that very many documents share) is split over several buckets by
+group. What is earliest in such a part may start earlier in another one: its
+windows, by the 128 bits of XXH3 of their bytes, meet in an even second exchange.
+So no bucket grows with the number of documents that share a pick.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -38,6 +44,7 @@ from .common import bucket_count, group_count, prepare, text_bytes
 U64 = np.uint64
 GRAM = 32
 BATCH = 1 << 18
+HOT = 4096
 SCHEMA = "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -139,23 +146,48 @@ class _Fragments:
             last = fits.copy()
             last[:-1] &= ~fits[1:] | (picked[1:] != picked[:-1])
             a, b = np.flatnonzero(new), np.flatnonzero(last) + window
-            content = B.mix((total[b] - total[a]) * inv[a] + (b - a).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-            parts.append((a + s0, b + s0, grams[picked[a].astype(np.int64)], content))
-        self.a, self.b, self.pick, self.content = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64), np.empty(0, U64))
+            parts.append((a + s0, b + s0, grams[picked[a].astype(np.int64)]))
+        self.a, self.b, self.pick = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U64))
 
     def rows(self) -> np.ndarray:
         return np.searchsorted(self.starts, self.a, side="right") - 1
 
 
+def _counted(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return len(keys).to_bytes(8, "little") + keys.tobytes() + zstandard.compress(counts.astype(np.uint32).tobytes(), 1)
+
+
+def _uncounted(payload) -> tuple[np.ndarray, np.ndarray]:
+    view = memoryview(payload)
+    n = int.from_bytes(view[:8], "little")
+    return np.frombuffer(payload, U64, n, 8), np.frombuffer(zstandard.decompress(view[8 + 8 * n :]), np.uint32).astype(np.int64)
+
+
 def _send_picks(buckets: int, window: int):
     def send(table: pa.Table) -> Iterator:
         f = _Fragments(table, window)
-        keys = np.unique(f.pick)
-        yield from X.deal(f.grp, X.bucket_of(keys, buckets), buckets, lambda i: keys[i].tobytes())
+        keys, counts = np.unique(f.pick, return_counts=True)
+        yield from X.deal(f.grp, X.bucket_of(keys, buckets), buckets, lambda i: _counted(keys[i], counts[i]))
 
     return send
 
 
+def _shared_picks(table: pa.Table) -> Iterator:
+    """The picks that another group has too, each with the number of fragments that all groups have of it."""
+    parts = [(g, *_uncounted(p)) for g, p in X.payloads(table)]
+    if not parts:
+        return
+    keys, inverse, groups = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, weights=np.concatenate([c for _, _, c in parts]), minlength=len(keys)).astype(np.int64)
+    at = 0
+    for g, k, _ in parts:
+        mine = inverse[at : at + len(k)]
+        at += len(k)
+        mine = mine[groups[mine] > 1]
+        if len(mine):
+            yield g, 0, _counted(keys[mine], np.minimum(total[mine], (1 << 32) - 1))
+
+
 def _ranges(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return len(key).to_bytes(8, "little") + key.astype(np.int64).tobytes() + start.astype(np.uint32).tobytes() + end.astype(np.uint32).tobytes()
 
@@ -171,109 +203,193 @@ def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(head) - 1, np.flatnonzero(head)
 
 
-def _send_fragments(buckets: int, window: int):
+def _same(raw: bytes | memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span; equal numbers are equal bytes."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(bytes(raw[a:b]), len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+
+
+def _parts(total: np.ndarray, hot: int) -> np.ndarray:
+    """Over how many buckets a pick with so many fragments is split."""
+    return np.maximum(1, -(-total // hot))
+
+
+def _send_fragments(buckets: int, window: int, hot: int):
     def send(table: pa.Table, known: pa.Table) -> Iterator:
         if not table.num_rows:
             return
         f = _Fragments(table, window)
         if not len(f.a):
             return
-        shared = np.sort(np.concatenate([np.frombuffer(p, U64) for _, p in X.payloads(known)] or [np.empty(0, U64)]))
+        found = [_uncounted(p) for _, p in X.payloads(known)]
+        shared, total = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, U64), np.empty(0, np.int64))
+        order = np.argsort(shared)
+        shared, total = shared[order], total[order]
         ranked = np.sort(f.pick)
         home = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-        abroad = B.member(f.pick, shared)[0]
+        abroad, place = B.member(f.pick, shared)
+        parts = np.ones(len(f.pick), np.int64)
+        parts[abroad] = _parts(total[place], hot)
         take = np.flatnonzero(abroad | B.member(f.pick, home)[0])
         if not len(take):
             return
         row = f.rows()[take]
-        a, b, pick, content, abroad = f.a[take], f.b[take], f.pick[take], f.content[take], abroad[take]
+        a, b, pick, abroad, parts = f.a[take], f.b[take], f.pick[take], abroad[take], parts[take]
         doc, key, at = f.docs[row], f.keys[row], f.a[take] - f.starts[row]
-        order = np.lexsort((at, doc, content))
-        a, b, pick, content, abroad, doc, key, at = (x[order] for x in (a, b, pick, content, abroad, doc, key, at))
-        cls, first = _firsts(content)
+        text = _same(f.data.tobytes(), a, b)
+        order = np.lexsort((at, doc, text))
+        a, b, pick, abroad, parts, doc, key, at, text = (x[order] for x in (a, b, pick, abroad, parts, doc, key, at, text))
+        cls, first = _firsts(text)
         lead = (doc == doc[first][cls]) & (at == at[first][cls])
-        late = ~lead
-        if late.any():  # the same text starts earlier in this group
-            yield f.grp % buckets, f.grp, 1, _ranges(key[late], at[late], (at + (b - a) - window + 1)[late])
+        late = np.flatnonzero(~lead)
+        if len(late):  # the same text starts earlier in this group
+            again = late[np.concatenate(([True], cls[late][1:] != cls[late][:-1]))]  # the earliest further copy of a text stands for all
+            spans = _expand(f.data, np.concatenate((first[cls[again]], again)), a, b - a, doc, at, np.concatenate((cls[again], cls[again])), window)
+            where = dict(zip(cls[again].tolist(), again.tolist(), strict=True))
+            ranges = [(key[i], at[i] + s, at[i] + e) for i in late.tolist() for s, e in spans.get(where[int(cls[i])], ())]
+            if ranges:
+                k, s, e = (np.concatenate([np.full(len(r[1]), r[0]) if j == 0 else r[j] for r in ranges]) for j in range(3))
+                yield -1 - f.grp, f.grp, 1, _ranges(k, s, e)
         # one copy of each text, if its pick is known elsewhere or has another text here
         by_pick = np.sort(pick[first])
         varied = np.unique(by_pick[1:][by_pick[1:] == by_pick[:-1]])
         out = np.flatnonzero(lead & (abroad | B.member(pick, varied)[0]))
-        a, b, pick, doc, key, at = (x[out] for x in (a, b, pick, doc, key, at))
+        a, b, pick, parts, doc, key, at = (x[out] for x in (a, b, pick, parts, doc, key, at))
 
         def pack(i: np.ndarray) -> bytes:
             raw = b"".join([f.data[s:e].tobytes() for s, e in zip(a[i].tolist(), b[i].tolist(), strict=True)])
-            head = pick[i].tobytes() + doc[i].astype(np.int64).tobytes() + key[i].tobytes() + at[i].astype(np.uint32).tobytes() + (b - a)[i].astype(np.uint32).tobytes()
+            head = pick[i].tobytes() + doc[i].astype(np.int64).tobytes() + key[i].tobytes() + at[i].astype(np.uint32).tobytes() + (b - a)[i].astype(np.uint32).tobytes() + (parts[i] > 1).tobytes()
             return len(i).to_bytes(8, "little") + zstandard.compress(head + raw, 1)
 
-        yield from X.deal(f.grp, X.bucket_of(B.mix(pick), buckets), buckets, pack)
+        salt = (f.grp % parts).astype(U64) * U64(0x9E3779B97F4A7C15)
+        yield from X.deal(f.grp, X.bucket_of(B.mix(pick + salt), buckets), buckets, pack)
 
     return send
 
 
-def _repeats(window: int):
+def _repeats(buckets: int, window: int):
+    """Answers of a bucket, in the form of messages: those to a group go to the bucket -1 - group, windows of split picks to an even bucket."""
+
     def answer(table: pa.Table) -> Iterator:
-        found: list[tuple[np.ndarray, ...]] = [(np.full(len(r[0]), g), *r) for g, p in X.payloads(table, 1) for r in [_unrange(p)]]
+        for b, g, p in zip(table["bucket"].to_pylist(), table["grp"].to_pylist(), table["payload"], strict=True):
+            if b < 0:
+                yield b, g, 0, p.as_py()
         heads: list[tuple[np.ndarray, ...]] = []
         texts: list[bytes] = []
         for g, p in X.payloads(table, 0):
             n = int.from_bytes(memoryview(p)[:8], "little")
             raw = zstandard.decompress(memoryview(p)[8:])
-            heads.append((np.full(n, g), np.frombuffer(raw, U64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n), np.frombuffer(raw, np.uint32, n, 24 * n).astype(np.int64), np.frombuffer(raw, np.uint32, n, 28 * n).astype(np.int64)))
-            texts.append(raw[32 * n :])
-        if heads:
-            found += _bucket(heads, np.frombuffer(b"".join(texts), np.uint8), window)
-        if found:
-            grp, key, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(grp, kind="stable")
-            cuts = np.flatnonzero(np.diff(grp[order], prepend=-1, append=-1) != 0)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                i = order[lo:hi]
-                yield int(grp[i[0]]), 0, _ranges(key[i], start[i], end[i])
+            heads.append((np.full(n, g), np.frombuffer(raw, U64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int64, n, 16 * n), np.frombuffer(raw, np.uint32, n, 24 * n).astype(np.int64), np.frombuffer(raw, np.uint32, n, 28 * n).astype(np.int64), np.frombuffer(raw, bool, n, 32 * n)))
+            texts.append(raw[33 * n :])
+        if not heads:
+            return
+        found, open_ = _bucket(heads, b"".join(texts), window)
+        for g, payload in _by_group(found):
+            yield -1 - g, g, 0, payload
+        if len(open_[0]):
+            hashed, doc, at, grp, key = open_
+
+            def pack(i: np.ndarray) -> bytes:
+                head = doc[i].tobytes() + key[i].tobytes() + grp[i].astype(np.int32).tobytes() + at[i].astype(np.uint32).tobytes()
+                return len(i).to_bytes(8, "little") + hashed[i].tobytes() + zstandard.compress(head, 1)
+
+            yield from X.deal(0, X.bucket_of(hashed[:, 0], buckets), buckets, pack, kind=2)
 
     return answer
 
 
-def _bucket(heads: list[tuple[np.ndarray, ...]], data: np.ndarray, window: int) -> list[tuple[np.ndarray, ...]]:
-    grp, pick, doc, key, at, size = (np.concatenate(x) for x in zip(*heads, strict=True))
-    begin = np.cumsum(size) - size
-    content = np.empty(len(size), U64)
-    done = 0
-    while done < len(size):
-        lo = begin[done]
-        upto = max(done + 1, int(np.searchsorted(begin + size, lo + B.BLOCK, side="right")))
-        total = B.prefix(B._BYTE[data[lo : begin[upto - 1] + size[upto - 1]]])
-        x = begin[done:upto] - lo
-        content[done:upto] = B.mix((total[x + size[done:upto]] - total[x]) * B.powers(len(total))[1][x] + size[done:upto].astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-        done = upto
-    order = np.lexsort((at, doc, content, pick))
-    grp, pick, doc, key, at, size, begin, content = (x[order] for x in (grp, pick, doc, key, at, size, begin, content))
-    head = np.concatenate(([True], (content[1:] != content[:-1]) | (pick[1:] != pick[:-1])))
-    cls, first = np.cumsum(head) - 1, np.flatnonzero(head)
-    lead = (doc == doc[first][cls]) & (at == at[first][cls])
-    late = ~lead
-    found = [(grp[late], key[late], at[late], (at + size - window + 1)[late])]
-    # distinct texts of picks that have several
-    of = pick[first]
-    several = np.zeros(len(first), bool)
-    several[1:] |= of[1:] == of[:-1]
-    several[:-1] |= of[1:] == of[:-1]
-    todo = np.flatnonzero(several)
-    members = np.append(first, len(pick))
+def _by_group(found: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
+    """The ranges of each group, from (group, row key, start, end) arrays."""
+    if not found:
+        return
+    grp, key, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(grp, kind="stable")
+    cuts = np.flatnonzero(np.diff(grp[order], prepend=-1, append=-1) != 0)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i = order[lo:hi]
+        yield int(grp[i[0]]), _ranges(key[i], start[i], end[i])
+
+
+def _across(table: pa.Table) -> Iterator:
+    """Answers to a group pass through; of equal windows from the parts of a split pick, all but the earliest are repeats."""
+    for b, g, p in zip(table["bucket"].to_pylist(), table["grp"].to_pylist(), table["payload"], strict=True):
+        if b < 0:
+            yield g, 0, p.as_py()
+    parts = []
+    for _, p in X.payloads(table, 2):
+        n = int.from_bytes(memoryview(p)[:8], "little")
+        raw = zstandard.decompress(memoryview(p)[8 + 16 * n :])
+        parts.append((np.frombuffer(p, U64, 2 * n, 8).reshape(-1, 2), np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n).astype(np.int64), np.frombuffer(raw, np.uint32, n, 20 * n).astype(np.int64)))
+    if not parts:
+        return
+    hashed, doc, key, grp, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, doc, hashed[:, 1], hashed[:, 0]))
+    hashed, doc, key, grp, at = (x[order] for x in (hashed, doc, key, grp, at))
+    head = np.concatenate(([True], (hashed[1:] != hashed[:-1]).any(axis=1)))
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    late = (doc != doc[first]) | (at != at[first])
+    for g, payload in _by_group([(grp[late], key[late], at[late], at[late] + 1)] if late.any() else []):
+        yield g, 0, payload
+
+
+def _expand(data: np.ndarray, rows: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, together: np.ndarray, window: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """For the rows (fragments) that have any: the runs of their windows that start earlier in another of the rows. Rows of one number in `together` stay in one batch."""
+    order = np.argsort(together, kind="stable")
+    rows, together = rows[order], together[order]
+    ends = np.append(np.flatnonzero(np.diff(together)) + 1, len(rows))
+    reach = np.cumsum(size[rows] + 1)
+    out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     lo = 0
-    while lo < len(todo):
-        reach = np.cumsum(size[first[todo[lo:]]] + 1)
-        hi = lo + max(1, int(np.searchsorted(reach, BATCH, side="right")))
-        while hi < len(todo) and of[todo[hi]] == of[todo[hi - 1]]:  # the texts of a pick stay together
-            hi += 1
-        batch = todo[lo:hi]
+    while lo < len(rows):
+        done = reach[lo - 1] if lo else 0
+        hi = int(ends[max(np.searchsorted(reach[ends - 1], done + BATCH, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
+        batch = rows[lo:hi]
         lo = hi
-        for u, starts, ends in _classes(data, begin[first[batch]], size[first[batch]], doc[first[batch]], at[first[batch]], window):
-            c = batch[u]
-            for i in range(members[c], members[c + 1]):
-                if lead[i]:
-                    found.append((np.full(len(starts), grp[i]), np.full(len(starts), key[i]), at[i] + starts, at[i] + ends))
-    return found
+        for u, starts, stops in _classes(data, begin[batch], size[batch], doc[batch], at[batch], window):
+            out.setdefault(int(batch[u]), []).append((starts, stops))
+    return out
+
+
+def _bucket(heads: list[tuple[np.ndarray, ...]], raw: bytes, window: int) -> tuple[list[tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
+    """(group, row key, start, end) of repeated windows, and the windows of split picks that are the earliest here."""
+    grp, pick, doc, key, at, size, hot = (np.concatenate(x) for x in zip(*heads, strict=True))
+    begin = np.cumsum(size) - size
+    data = np.frombuffer(raw, np.uint8)
+    text = _same(raw, begin, begin + size)
+    order = np.lexsort((at, doc, text))
+    grp, pick, doc, key, at, size, hot, begin, text = (x[order] for x in (grp, pick, doc, key, at, size, hot, begin, text))
+    cls, first = _firsts(text)
+    lead = (doc == doc[first][cls]) & (at == at[first][cls])
+    late = np.flatnonzero(~lead)
+    again = late[np.concatenate(([True], cls[late][1:] != cls[late][:-1]))] if len(late) else late
+    # the texts of picks that have several, and the earliest further copy of each text
+    ranked = np.sort(pick[first])
+    several = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    again_cls = np.zeros(len(first), bool)
+    again_cls[cls[again]] = True
+    once = first[B.member(pick[first], several)[0] | again_cls]
+    rows = np.concatenate((once, again))
+    _, numbers = np.unique(pick[rows], return_inverse=True)
+    spans = _expand(data, rows, begin, size, doc, at, numbers, window)
+    found: list[tuple[np.ndarray, ...]] = []
+    stands = np.where(lead, first[cls], 0)  # the row whose windows speak for this one
+    if len(again):
+        of = np.zeros(len(first), np.int64)
+        of[cls[again]] = again
+        stands[late] = of[cls[late]]
+    for i, r in enumerate(stands.tolist()):
+        for s, e in spans.get(r, ()):
+            found.append((np.full(len(s), grp[i]), np.full(len(s), key[i]), at[i] + s, at[i] + e))
+    open_: list[tuple[np.ndarray, ...]] = []
+    for i in np.flatnonzero(lead & hot).tolist():
+        free = np.ones(size[i] - window + 1, bool)
+        for s, e in spans.get(int(first[cls[i]]), ()):
+            free &= ~B.spans_to_cover(s, e, len(free))
+        w = np.flatnonzero(free)
+        lo = int(begin[i])
+        open_.append((np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[lo + x : lo + x + window]) for x in w.tolist()]), U64).reshape(-1, 2), np.full(len(w), doc[i]), at[i] + w, np.full(len(w), grp[i]), np.full(len(w), key[i])))
+    empty = np.empty(0, np.int64)
+    return found, tuple(np.concatenate(x) for x in zip(*open_, strict=True)) if open_ else (np.empty((0, 2), U64), empty, empty, empty, empty)
 
 
 def _classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -361,7 +477,7 @@ def _finish(window: int, with_text: bool):
     return result
 
 
-def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, with_key: bool = False) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, with_key: bool = False, hot: int = HOT) -> DataFrame:
     """Drop every byte covered by a `window`-byte string that also starts earlier.
 
     docs needs doc_id and text; other columns, whatever their names, are
@@ -371,7 +487,9 @@ def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, w
     characters, else null); with with_key also row_key, xxhash64(doc_id, text),
     to join rows by. Null text is empty; a null doc_id counts as larger
     than any other; rows with equal doc_id count as one document, ordered by
-    start, so that exact repeats of a row keep their text.
+    start, so that exact repeats of a row keep their text. Texts of any length are
+    read whole; hot is the number of fragments beyond which a pick is split, and
+    does not change the result.
     """
     if window < 2 * GRAM:
         raise ValueError(f"window must be at least {2 * GRAM} bytes")
@@ -379,8 +497,9 @@ def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, w
     total = text_bytes(docs)
     rows = X.grouped(docs, group_count(total))
     picks = bucket_count(total * 0.25)
-    fragments = bucket_count(total * 1.0, size=3e6)
-    shared = X.reply(X.ask(rows, _send_picks(picks, window)), X.repeated_elsewhere)
-    found = X.reply(X.ask_again(rows, shared, _send_fragments(fragments, window)), _repeats(window))
+    fragments = bucket_count(total * 1.0, least=256, size=3e6)
+    shared = X.reply(X.ask(rows, _send_picks(picks, window)), _shared_picks)
+    asked = X.pass_on(X.ask_again(rows, shared, _send_fragments(fragments, window, hot)), _repeats(fragments, window))
+    found = X.reply(asked, _across)
     out = X.finish(rows, found, _finish(window, with_text), SCHEMA)
     return out if with_key else out.drop("row_key")
