@@ -363,7 +363,7 @@ def test_language_model(spark, awkward, empty):
 
 
 def test_language_model_learns_from_every_position(spark):
-    from weft.llm.maxent_lm import Tokens, score_corpus
+    from weft.llm.maxent_lm import score_corpus
 
     r = random.Random(3)
     few = ["red", "blue", "green", "black", "white", "brown", "pink", "grey"]
@@ -371,18 +371,46 @@ def test_language_model_learns_from_every_position(spark):
     got = score_corpus(docs, F.col("doc_id") >= 27000).where("held_out").agg(F.avg("score")).first()[0]
     # three words out of eight and then the end, which is the fourth token of every text
     assert got > 3 * math.log10(1 / 8) - 0.3
-    tokens = Tokens(pa.chunked_array([pa.array(["a b c", "", "a", "a b c d e f g h i", None])]))
-    for rounds in (1, 3, 5):
-        assert sorted(np.concatenate([tokens.dealt(t, rounds) for t in range(rounds)])) == list(range(len(tokens.keys)))
 
 
-def test_class_probabilities_sum_to_one():
-    from weft.llm.maxent_lm import CLASSES, SLOTS, TEMPLATES, Weights
+def test_language_model_does_not_depend_on_partitions(spark):
+    from weft.llm.maxent_lm import score_corpus
+
+    rows = [(i, " ".join(words_of(40 + i % 9, i, 60))) for i in range(300)]
+    one, many = (sorted((r.doc_id, r.score) for r in score_corpus(frame(spark, rows).repartition(n), F.col("doc_id") % 5 == 0).collect()) for n in (1, 7))
+    assert one == many
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    from weft.llm.maxent_lm import BRANCH, DEEPEST, END, END_CLASS, TEMPLATES, Model, describe
 
     rng = np.random.default_rng(0)
-    w = Weights(rng.normal(size=(TEMPLATES * SLOTS, CLASSES)).astype(np.float32), rng.normal(size=CLASSES).astype(np.float32))
-    f = np.repeat(np.array([[1, SLOTS + 2, 2 * SLOTS + 3, 3 * SLOTS + 4]]), CLASSES, axis=0)
-    assert np.exp(w.log_prob(f, np.arange(CLASSES))).sum() == pytest.approx(1, abs=1e-5)
+    words = [b"%d" % i for i in range(300)] + [END]
+    path = describe(words)[2]
+    paths, inverse = np.unique(path, return_inverse=True)
+    counts = rng.integers(1, 50, len(words))
+    m = Model(paths, np.bincount(inverse, weights=counts), np.bincount(inverse))
+    m.table[:] = rng.normal(size=m.table.shape)
+    shift = 4 * (DEEPEST - m.levels)
+    last = path >> shift
+    # one unknown word for each last class, and those of classes without a known word
+    unknown = np.array([p for p in range(END_CLASS * BRANCH ** (m.levels - 1))], np.int64) << shift
+    every, own = np.concatenate((path, unknown)), np.concatenate((counts, np.zeros(len(unknown))))
+    contexts = np.repeat(rng.integers(0, 2**63, (TEMPLATES, 1)).astype(np.uint64), len(every), axis=1)
+    assert np.exp(m.log_prob(contexts, every, own)).sum() == pytest.approx(1, abs=1e-4)
+    assert len(set(last.tolist())) > 50
+
+
+def test_unseen_words_stay_unknown(spark):
+    """A held-out word that collides with a trained one under every polynomial hash modulo 2**64."""
+    from weft.llm.maxent_lm import score_corpus
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word + " same"), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = {r.doc_id: r for r in score_corpus(frame(spark, rows), F.col("doc_id") == 2).collect()}
+    assert got[2].n_known == 1 and got[2].n_tokens == 2
 
 
 @needs_tables
@@ -391,8 +419,8 @@ def test_language_model_beats_its_base(spark):
     from weft.llm.maxent_lm import score_corpus
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    r = score_corpus(docs, held_out(F.col("doc_id"), 7, 2)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r.s > r.b
+    r = score_corpus(docs, held_out(F.col("doc_id"), 7, 2)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (r.s - r.b) / r.n > 0.2  # log10 a token
 
 
 # --- 7 HTML

@@ -71,15 +71,6 @@ def prefix(values: np.ndarray, seed: int = 0) -> np.ndarray:
     return out
 
 
-def windows(values: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """A hash of values[i:i+length] for each i where that fits."""
-    n = len(values) - length + 1
-    if n <= 0:
-        return np.empty(0, U64)
-    s = prefix(values, seed)
-    return mix((s[length:] - s[:n]) * powers(n, seed)[1])
-
-
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end, and where each row starts (one more entry than rows). Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -116,22 +107,6 @@ def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """A hash of data[at:to] for ascending spans, block by block so that memory does not follow the length of a text."""
-    hashes = np.empty(len(at), U64)
-    done = 0
-    while done < len(at):
-        lo = at[done]
-        upto = max(done + 1, int(np.searchsorted(to, lo + BLOCK, side="right")))
-        hi = to[upto - 1]
-        s = prefix(_BYTE[data[lo:hi]])
-        a, b = at[done:upto] - lo, to[done:upto] - lo
-        h = (s[b] - s[a]) * powers(int(hi - lo) + 1)[1][a]
-        hashes[done:upto] = mix(h + (b - a).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-        done = upto
-    return hashes
-
-
 def distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different words of some rows, the number of each word in their order, and where each row's words start (one more entry than rows). Words are told apart by their bytes."""
     at, to = word_spans(data, starts)

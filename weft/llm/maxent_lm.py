@@ -1,27 +1,30 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Classes are the most
-frequent words, one each, and word shapes for the rest. The class softmax adds
-up hashed n-gram and skip features of the history: the ending of the previous
-word, the pair of the two previous classes, and the endings two and three words
-back. Words within a class follow their corpus counts plus one, with one unknown
-word for each class.
-
-Counts are exact over all training tokens and come from a group/bucket
-exchange. The weights are trained by distributed updates: in every round each
-task runs adaptive gradient steps over its part of the training documents
-(the rounds deal out the positions of each text, so that every one is seen
-once), the differences are averaged in two levels of partial sums, and the next
-round starts from the mean. Texts are scored in numpy
-batches.
+A word is reached over a path of nested classes, sixteen ways at each level: the
+first two levels stand for its ending, the others for the word itself, and their
+number grows with the vocabulary. P(word | history) is the product of one softmax
+for each level and of the word's share of its last class. Every softmax adds up
+hashed features of the history, each joined with the class reached so far: the
+previous word, the two previous words, the word before the previous one (skip),
+and the endings of both with whether a third word stands before them (their number of slots grows with the vocabulary too).
+
+Counts are exact over all training tokens: groups of documents send their
+different words to buckets that tell words apart by their bytes. The weights are
+trained by distributed gradient updates in the form of iterative scaling: in
+every round each task adds up, over every position of its texts, how often each
+feature occurred with each class and how often the model expected it; the sums
+of all tasks, which are whole numbers and so do not depend on how rows are dealt,
+give one step for each weight. Texts are scored in sparse numpy batches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,314 +34,349 @@ from . import exchange as X
 from .common import bucket_count, group_count, materialize, prepare, text_bytes
 
 U64 = np.uint64
-SHAPES = 40
-SINGLES = 23
-CLASSES = SHAPES + SINGLES + 1
-END_CLASS = CLASSES - 1
-SLOTS = 4096
+BRANCH = 16
+#: Levels of a full path; a model uses as many of them as its vocabulary asks for.
+DEEPEST = 5
+#: The first class of the end of a text; words have the others.
+END_CLASS = BRANCH - 1
 TEMPLATES = 4
-ROUNDS = 3
-BATCH = 2048
+#: Steps of the rounds: the share of log(observed / expected) that a weight moves by.
+RATES = (0.45, 0.45, 0.45)
+#: Added to both sides of that quotient.
+PRIOR = 8.0
+#: Expected counts are summed in units of 1 / UNIT.
+UNIT = 32768
+BATCH = 1 << 16
+CHUNK = 1 << 11
+#: No weight goes beyond this; four of them stay far from what a 32-bit exponential can hold.
+MOST = 15.0
 SLICES = 16
-END_KEY = U64(0xFFFFFFFFFFFFFFC0 | 63)
+END = b""
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_FIRST = np.array([(BRANCH**level - 1) // (BRANCH - 1) for level in range(DEEPEST + 1)])
+
+
+def describe(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash, a key of the ending and the full path (DEEPEST digits to the base 16) of each word; the empty word is the end of a text."""
+    hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], U64)
+    tail = np.array([int.from_bytes(w[-3:], "big") for w in words], U64)
+    size = np.array([min(len(w), 4) for w in words], U64)
+    ending = B.mix(tail | size << U64(24))
+    shape = B.mix(tail & U64(0xFFFF) | (size <= U64(3)).astype(U64) << U64(16)) % U64(BRANCH * (BRANCH - 1))
+    rest = 4 * (DEEPEST - 2)
+    path = (shape << U64(rest) | hashed >> U64(64 - rest)).astype(np.int64)
+    path[size == 0] = END_CLASS << 4 * (DEEPEST - 1)
+    return hashed, ending, path
 
 
 class Tokens:
-    """Keys, shapes and ending features of all tokens of some texts; each text's words and then its end."""
+    """The words of some texts by number, each text's words and then its end."""
 
     def __init__(self, column: pa.ChunkedArray | pa.Array):
         data, starts = B.text_buffer(column)
         upper = (data >= 65) & (data <= 90)
         data = np.where(upper, data | 32, data).astype(np.uint8)
-        at, to = B.word_spans(data, starts)
-        bounds = np.searchsorted(at, starts)
+        self.words, index, bounds = B.distinct_words(data, starts)
         rows = len(starts) - 1
         self.bounds = bounds + np.arange(rows + 1)  # where each text's tokens start, ends counted in
-        self.owner = np.repeat(np.arange(rows), np.diff(self.bounds))
-        self.ends = self.bounds[1:] - 1
-        n = len(at) + rows
+        n = len(index) + rows
+        self.end = len(self.words)
+        self.words.append(END)
+        self.index = np.full(n, self.end, np.int64)
         word = np.ones(n, bool)
-        word[self.ends] = False
-        size = np.minimum(to - at, 255)
-        tail = [np.where(size > k, data[np.maximum(to - 1 - k, 0)], 0).astype(U64) for k in range(3)] if len(at) else [np.empty(0, U64)] * 3
-        shape = B.mix(tail[0] | tail[1] << U64(8) | (size <= 3).astype(U64) << U64(16)) % U64(SHAPES)
-        ending = B.mix(tail[0] | tail[1] << U64(8) | tail[2] << U64(16) | np.minimum(size, 4).astype(U64) << U64(24))
-        self.keys = np.full(n, END_KEY)
-        self.keys[word] = B.span_hashes(data, at, to) & ~U64(63) | shape
-        self.shape = np.full(n, SHAPES, np.int64)
-        self.shape[word] = shape.astype(np.int64)
-        self.ending = np.zeros(n, np.int64)
-        self.ending[word] = (ending >> U64(52)).astype(np.int64)
+        word[self.bounds[1:] - 1] = False
+        self.index[word] = index
+        self.owner = np.repeat(np.arange(rows), np.diff(self.bounds))
         self.place = np.arange(n) - self.bounds[:-1][self.owner] if n else np.empty(0, np.int64)
 
-    def dealt(self, turn: int, rounds: int) -> np.ndarray:
-        """The tokens of one of the rounds, by place and length of the text alone; each is in exactly one."""
-        return np.flatnonzero((self.place + np.diff(self.bounds)[self.owner]) % rounds == turn)
-
-    def classes(self, singles: np.ndarray) -> np.ndarray:
-        """Class of each token; singles are sorted keys of the words with a class of their own."""
-        out = self.shape.copy()
-        hit, place = B.member(self.keys, singles)
-        out[hit] = SHAPES + place
-        out[self.ends] = END_CLASS
-        return out
-
-    def features(self, classes: np.ndarray) -> np.ndarray:
-        """A slot of each template for each token, from the tokens before it in its text."""
-        n = len(classes)
-
-        def back(values: np.ndarray, k: int, blank: int) -> np.ndarray:
-            out = np.full(n, blank, np.int64)
-            out[k:] = values[: max(0, n - k)]
-            out[self.place < k] = blank
-            return out
-
-        one, two = back(classes, 1, END_CLASS), back(classes, 2, END_CLASS)
-        return np.stack([back(self.ending, 1, 0), one * CLASSES + two, back(self.ending, 2, 0), back(self.ending, 3, 0)], axis=1) + np.arange(TEMPLATES) * SLOTS
-
-
-class Weights:
-    """table: a row of class weights for each slot of each template; bias: one for each class."""
-
-    def __init__(self, table: np.ndarray, bias: np.ndarray):
-        self.table, self.bias = table, bias
-
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        z = self.table[features[:, 0]]
-        for t in range(1, TEMPLATES):
-            z += self.table[features[:, t]]
-        z += self.bias
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """A key of each template for each token, from the tokens before it in its text; and the full path of each token."""
+        hashed, ending, path = describe(self.words)
+        hashed, ending = (np.append(x, U64(0x1B873593)) for x in (hashed, ending))  # what stands before a text
+        back = []
+        for k in (1, 2):
+            at = np.full(len(self.index), len(self.words), np.int64)
+            at[k:] = self.index[: max(0, len(self.index) - k)]
+            at[self.place < k] = len(self.words)
+            back.append(at)
+        one, two = back
+        pair, endings = (B.mix(x[one] * U64(0x9FB21C651E98DF25) + x[two]) for x in (hashed, ending))
+        endings = B.mix(endings + (self.place > 2).astype(U64))
+        return np.stack([hashed[one], pair, hashed[two], endings]), path[self.index]
+
+
+class Model:
+    """levels of the paths, slots of a template, bias (a row of class weights for each node), table (one for each slot of each template) and the statistics of the last classes."""
+
+    def __init__(self, leaves: np.ndarray, tokens: np.ndarray, types: np.ndarray):
+        """From the different full paths, and how many training tokens and different words each has."""
+        end = leaves >> 4 * (DEEPEST - 1) == END_CLASS
+        self.tokens, self.types = int(tokens.sum()), int(types.sum())
+        words = max(1, self.types - int(end.any()))
+        self.levels = max(2, min(DEEPEST, math.ceil(math.log(max(1, words / 4), BRANCH))))
+        self.bits = max(10, min(15, math.ceil(math.log2(words)) + 1))
+        last = leaves >> 4 * (DEEPEST - self.levels)
+        size = BRANCH**self.levels
+        n, v = (np.bincount(last, weights=x, minlength=size) for x in (tokens, types))
+        self.denominator = np.log(n + v + 1)
+        self.bias = np.zeros((_FIRST[self.levels], BRANCH), np.float32)
+        for level in range(self.levels):
+            below = n.reshape(BRANCH ** (level + 1), -1).sum(axis=1).reshape(-1, BRANCH)
+            share = (below + 0.5) / (below.sum(axis=1, keepdims=True) + 0.5 * BRANCH)
+            self.bias[_FIRST[level] : _FIRST[level + 1]] = np.log(share)
+        self.key = B.mix(np.arange(1, len(self.bias) + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+        self.table = np.zeros((TEMPLATES, 1 << self.bits, BRANCH), np.float32)
+
+    def steps(self, contexts: np.ndarray, path: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: the tokens that have it, their node, the class they take and a slot of each template."""
+        end = path >> 4 * (DEEPEST - 1) == END_CLASS
+        for level in range(self.levels):
+            at = np.flatnonzero(~end) if level else np.arange(len(path))
+            digits = path[at] >> 4 * (DEEPEST - 1 - level)
+            node = _FIRST[level] + (digits >> 4)
+            slots = ((contexts[:, at] ^ self.key[node]) * U64(0x9E3779B97F4A7C15) >> U64(64 - self.bits)).astype(np.int64)
+            yield at, node, digits & (BRANCH - 1), slots
+
+    def scores(self, node: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Weights of the classes; they are too small for exp() to overflow."""
+        z = np.empty((len(node), BRANCH), np.float32)
+        more = np.empty((CHUNK, BRANCH), np.float32)
+        for lo in range(0, len(node), CHUNK):  # stays in the cache
+            part = z[lo : lo + CHUNK]
+            one = more[: len(part)]
+            np.take(self.bias, node[lo : lo + CHUNK], axis=0, out=part, mode="clip")
+            for t in range(TEMPLATES):
+                np.take(self.table[t], slots[t, lo : lo + CHUNK], axis=0, out=one, mode="clip")
+                part += one
         return z
 
-    def log_prob(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Natural logarithm of P(class | history), batch by batch."""
-        out = np.empty(len(classes))
-        for lo in range(0, len(classes), 8192):
-            z = self.scores(features[lo : lo + 8192])
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), classes[lo : lo + 8192]].astype(np.float64)
-            out[lo : lo + 8192] = own - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
+    def log_prob(self, contexts: np.ndarray, path: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Natural logarithm of P(token | history), for tokens with these counts in the training texts."""
+        last = path >> 4 * (DEEPEST - self.levels)
+        out = np.log(counts + 1.0) - self.denominator[last]
+        out[path >> 4 * (DEEPEST - 1) == END_CLASS] = 0.0  # the only one of its class
+        for at, node, own, slots in self.steps(contexts, path):
+            z = self.scores(node, slots)
+            out[at] += z[np.arange(len(at)), own].astype(np.float64) - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
         return out
 
+    def tally(self, contexts: np.ndarray, path: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
+        """Add what these tokens show of each feature and class, and what the model expects."""
+        for _, node, own, slots in self.steps(contexts, path):
+            z = self.scores(node, slots)
+            np.exp(z, out=z)
+            z *= np.float32(UNIT) / z.sum(axis=1, keepdims=True)
+            np.rint(z, out=z)
+            for t in range(TEMPLATES):
+                np.add.at(observed[t].reshape(-1), slots[t] * BRANCH + own, 1)
+            for k in range(BRANCH):  # whole numbers below 2**53: exact in any order
+                share = z[:, k].astype(np.float64)
+                for t in range(TEMPLATES):
+                    expected[t, k] += np.bincount(slots[t], weights=share, minlength=1 << self.bits)
+
+
+def _slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `most` bytes."""
+    size = B.text_buffer(column)[1]
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _group_counts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """The different words of a group in order of their bytes, and how often each occurs in its training texts."""
+    tokens = Tokens(table["text"])
+    train = ~table["held"].to_numpy()
+    counts = np.bincount(tokens.index, weights=train[tokens.owner], minlength=len(tokens.words)).astype(np.int64)
+    order = sorted(range(len(tokens.words)), key=tokens.words.__getitem__)
+    return [tokens.words[i] for i in order], counts[order]
+
 
-def step_through(weights: Weights, features: np.ndarray, classes: np.ndarray, square: np.ndarray, rate: float = 0.15) -> None:
-    """Adaptive gradient steps in place, one for each batch."""
-    for lo in range(0, len(classes), BATCH):
-        f, c = features[lo : lo + BATCH], classes[lo : lo + BATCH]
-        z = weights.scores(f)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(c)), c] -= 1
-        weights.bias -= np.float32(0.02) * z.mean(axis=0)
-        for t in range(TEMPLATES):
-            order = np.argsort(f[:, t], kind="stable")
-            slot = f[order, t]
-            heads = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-            grad = np.add.reduceat(z[order], heads)
-            at = slot[heads]
-            square[at] += grad * grad
-            weights.table[at] -= np.float32(rate) * grad / np.sqrt(square[at])
+def _bucket(words: list[bytes], buckets: int) -> np.ndarray:
+    return X.bucket_of(np.array([xxhash.xxh3_64_intdigest(w, 1) for w in words], U64), buckets)
 
 
 def _send_counts(buckets: int):
     def send(table: pa.Table) -> Iterator:
         if not table.num_rows:
             return
-        keys, counts = _group_counts(table)
-        squeeze = zstandard.ZstdCompressor(1).compress
+        words, counts = _group_counts(table)
 
         def pack(i: np.ndarray) -> bytes:
-            return len(i).to_bytes(8, "little") + keys[i].tobytes() + squeeze(counts[i].astype(np.int64).tobytes())
+            mine = [words[j] for j in i.tolist()]
+            size = np.array(list(map(len, mine)), np.uint32)
+            return len(mine).to_bytes(8, "little") + zstandard.compress(size.tobytes() + counts[i].astype(np.int64).tobytes() + b"".join(mine), 1)
 
-        yield from X.deal(table["grp"][0].as_py(), X.bucket_of(keys, buckets), buckets, pack)
+        yield from X.deal(table["grp"][0].as_py(), _bucket(words, buckets), buckets, pack)
 
     return send
 
 
-def _group_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of a group and how often each occurs in its training texts."""
-    tokens = Tokens(table["text"])
-    train = ~table["held"].to_numpy()
-    keys, inverse = np.unique(tokens.keys, return_inverse=True)
-    return keys, np.bincount(inverse, weights=train[tokens.owner], minlength=len(keys)).astype(np.int64)
-
-
 def _totals(table: pa.Table) -> Iterator:
-    """Answer each group with the corpus counts of its keys, in its order; and say what the bucket's words add to the class statistics."""
-    parts = []
+    """Answer each group with the corpus counts of its words, in its order; and say what the bucket's words add to the statistics of the paths."""
+    parts: list[tuple[int, int]] = []
+    words, counts = [], []
     for g, p in X.payloads(table):
         n = int.from_bytes(memoryview(p)[:8], "little")
-        parts.append((g, np.frombuffer(p, U64, n, 8), np.frombuffer(zstandard.decompress(memoryview(p)[8 + 8 * n :]), np.int64)))
-    keys, inverse = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([c for _, _, c in parts]), minlength=len(keys)).astype(np.int64)
+        raw = zstandard.decompress(memoryview(p)[8:])
+        at = np.zeros(n + 1, np.int32)
+        np.cumsum(np.frombuffer(raw, np.uint32, n), out=at[1:])
+        words.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(raw[12 * n :])]))
+        counts.append(np.frombuffer(raw, np.int64, n, 4 * n))
+        parts.append((g, n))
+    every = pa.chunked_array([w.cast(pa.large_binary()) for w in words]).combine_chunks().dictionary_encode()
+    index, known = every.indices.to_numpy(), every.dictionary.to_pylist()
+    total = np.bincount(index, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
     bucket = table["bucket"][0].as_py()
     at = 0
-    for g, k, _ in parts:
-        yield g, bucket, zstandard.compress(total[inverse[at : at + len(k)]].tobytes(), 1)
-        at += len(k)
-    seen = total > 0
-    shape, total, keys = np.minimum(keys[seen] & U64(63), U64(SHAPES)).astype(np.int64), total[seen], keys[seen]
-    stats = np.stack([np.bincount(shape, weights=w, minlength=SHAPES + 1) for w in (total, np.ones(len(total)))]).astype(np.int64)
-    top = np.argsort(-total, kind="stable")[: SINGLES + 1]
-    yield -1, -1 - bucket % 64, stats.tobytes() + keys[top].tobytes() + total[top].tobytes()
-
-
-def _parse_stats(payload) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    head = 2 * (SHAPES + 1)
-    stats = np.frombuffer(payload, np.int64, head).reshape(2, -1)
-    n = (len(memoryview(payload)) - 8 * head) // 16
-    return stats, np.frombuffer(payload, U64, n, 8 * head), np.frombuffer(payload, np.int64, n, 8 * (head + n))
-
-
-def _join_stats(payloads: list) -> bytes:
-    parts = [_parse_stats(p) for p in payloads]
-    keys, total = np.concatenate([k for _, k, _ in parts]), np.concatenate([t for _, _, t in parts])
-    top = np.lexsort((keys, -total))[: SINGLES + 1]
-    return sum(s for s, _, _ in parts).tobytes() + keys[top].tobytes() + total[top].tobytes()
-
-
-class Classes:
-    """Statistics of the classes: natural logarithms of what a word's count makes of it."""
-
-    def __init__(self, stats: np.ndarray, keys: np.ndarray, total: np.ndarray):
-        word = keys != END_KEY
-        keys, total = keys[word][:SINGLES], total[word][:SINGLES]
-        order = np.argsort(keys)
-        self.singles, own = keys[order], total[order]
-        n, v = (np.concatenate((s[:SHAPES], np.zeros(SINGLES + 1))) for s in stats.astype(float))
-        self.tokens, self.types = int(stats[0].sum()), int(stats[1].sum())
-        for i, (k, c) in enumerate(zip(self.singles, own, strict=True)):
-            shape = int(k & U64(63))
-            n[shape] -= c
-            v[shape] -= 1
-            n[SHAPES + i] = c
-        n[END_CLASS] = stats[0][SHAPES]
-        self.size = n
-        self.denominator = np.log(n + v + 1)
+    for g, n in parts:
+        yield g, bucket, zstandard.compress(total[index[at : at + n]].tobytes(), 1)
+        at += n
+    seen = np.flatnonzero(total > 0)
+    path = describe([known[i] for i in seen.tolist()])[2]
+    yield from _statistics(path, total[seen], np.ones(len(seen), np.int64))
+
+
+def _statistics(path: np.ndarray, tokens: np.ndarray, types: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Sums for each path, in one row for each first class (kind -1 - class)."""
+    paths, inverse = np.unique(path, return_inverse=True)
+    n, v = (np.bincount(inverse, weights=x, minlength=len(paths)).astype(np.int64) for x in (tokens, types))
+    first = paths >> 4 * (DEEPEST - 1)
+    for k in np.unique(first).tolist():
+        i = first == k
+        yield -1, -1 - k, zstandard.compress(np.stack([paths[i], n[i], v[i]]).tobytes(), 1)
 
-    def word(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Natural logarithm of P(word | class): add-one over the words of the class and one unknown."""
-        out = np.log(counts + 1.0) - self.denominator[classes]
-        out[classes >= SHAPES] = 0.0  # the only word of its class
-        return out
 
-    def bias(self) -> np.ndarray:
-        return np.log((self.size + 0.5) / (self.size.sum() + 0.5 * CLASSES)).astype(np.float32)
+def _unpack(payload) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(payload), np.int64).reshape(3, -1)
 
 
-def _train(rows: DataFrame, weights: Weights, singles: np.ndarray, turn: int, rounds: int) -> Weights:
-    """One round: the mean of what the tasks' steps make of the weights."""
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, so that the empty high bytes of small ones cost nothing."""
+    return zstandard.compress(np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unplane(payload) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(payload), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def _train(rows: DataFrame, model: Model, rate: float) -> None:
+    """One round over every position of the rows: a step for each weight."""
     spark = rows.sparkSession
-    held = spark.sparkContext.broadcast((weights.table, weights.bias, singles))  # fixed size
-    step = TEMPLATES * SLOTS // SLICES
+    held = spark.sparkContext.broadcast(model)  # bounded by the deepest path and the most slots
+    cells = TEMPLATES * BRANCH << model.bits
+    step = cells // SLICES
+    salts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
 
     def work(batches):
         from pyspark import TaskContext
 
-        table, bias, known = held.value
-        own = Weights(table.copy(), bias.copy())
-        square = np.full_like(own.table, 1e-4)
-        seen = 0
+        m = held.value
+        observed, expected = np.zeros((TEMPLATES, 1 << m.bits, BRANCH), np.int64), np.zeros((TEMPLATES, BRANCH, 1 << m.bits))
+        some = False
         for batch in batches:
             column = batch.column(0)
-            size = B.text_buffer(column)[1]
-            lo = 0
-            while lo < len(column):
-                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + (1 << 20), side="right")) - 1)
-                tokens = Tokens(column.slice(lo, hi - lo))
-                lo = hi
-                classes = tokens.classes(known)
-                take = tokens.dealt(turn, rounds)
-                step_through(own, tokens.features(classes)[take], classes[take], square)
-                seen += len(take)
-        salt = TaskContext.get().partitionId() % 16
-        if seen:
-            delta = ((own.table - table) * np.float32(1024)).astype(np.float16)
-            shift = (own.bias - bias).astype(np.float64) * seen
-            rows = [(i, salt, seen, zstandard.compress(delta[i * step : (i + 1) * step].tobytes(), 1), (shift if i == 0 else shift * 0).tobytes()) for i in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slice", "salt", "n", "delta", "bias"])
+            for lo, hi in _slices(column, 2 << 20):
+                contexts, path = Tokens(column.slice(lo, hi - lo)).contexts()
+                for at in range(0, len(path), BATCH):
+                    m.tally(contexts[:, at : at + BATCH], path[at : at + BATCH], observed, expected)
+                    some = True
+        if some:
+            salt = TaskContext.get().partitionId() % salts
+            flat = expected.transpose(0, 2, 1).astype(np.int64).reshape(-1)
+            seen = observed.reshape(-1)
+            B.tidy()
+            for i in range(SLICES):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([_planes(seen[i * step : (i + 1) * step])], pa.binary()), pa.array([_planes(flat[i * step : (i + 1) * step])], pa.binary())], names=["slice", "salt", "seen", "due"])
+
+    def added(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        seen, due = np.zeros(step, np.int64), np.zeros(step, np.int64)
+        for s, d in zip(table["seen"], table["due"], strict=True):
+            seen += _unplane(s.as_buffer())
+            due += _unplane(d.as_buffer())
+        return seen, due
 
     def join(table: pa.Table) -> pa.Table:
-        n, total, shift = 0, np.zeros(step * CLASSES, np.float64), np.zeros(CLASSES)
-        for k, d, b in zip(table["n"].to_pylist(), table["delta"].to_pylist(), table["bias"].to_pylist(), strict=True):
-            total += np.frombuffer(zstandard.decompress(d), np.float16).astype(np.float64) * k
-            shift += np.frombuffer(b, np.float64)
-            n += k
-        mean = zstandard.compress((total / max(n, 1)).astype(np.float16).tobytes(), 1)
-        return pa.table({"slice": table["slice"][:1], "salt": table["salt"][:1], "n": pa.array([n], pa.int64()), "delta": pa.array([mean], pa.binary()), "bias": pa.array([shift.tobytes()], pa.binary())})
-
-    ddl = "slice int, salt int, n long, delta binary, bias binary"
-    parts = rows.mapInArrow(work, ddl).groupBy("slice", "salt").applyInArrow(join, ddl).groupBy("slice").applyInArrow(join, ddl).collect()  # one row a slice
-    table, bias = weights.table.copy(), weights.bias.copy()
+        seen, due = added(table)
+        return pa.table({"slice": table["slice"][:1], "salt": table["salt"][:1], "seen": pa.array([_planes(seen)], pa.binary()), "due": pa.array([_planes(due)], pa.binary())})
+
+    def move(table: pa.Table) -> pa.Table:
+        seen, due = added(table)
+        delta = rate * np.log((seen + PRIOR) / (due / UNIT + PRIOR))
+        return pa.table({"slice": table["slice"][:1], "delta": pa.array([zstandard.compress(delta.astype(np.float16).tobytes(), 1)], pa.binary())})
+
+    ddl = "slice int, salt int, seen binary, due binary"
+    parts = rows.mapInArrow(work, ddl).groupBy("slice", "salt").applyInArrow(join, ddl).groupBy("slice").applyInArrow(move, "slice int, delta binary").collect()  # one row a slice
+    weights = model.table.reshape(-1)
     for r in parts:
-        table[r["slice"] * step : (r["slice"] + 1) * step] += np.frombuffer(zstandard.decompress(r["delta"]), np.float16).reshape(step, CLASSES).astype(np.float32) / np.float32(1024)
-        bias += (np.frombuffer(r["bias"], np.float64) / max(r["n"], 1)).astype(np.float32)
+        weights[r["slice"] * step : (r["slice"] + 1) * step] += np.frombuffer(zstandard.decompress(r["delta"]), np.float16).astype(np.float32)
+    np.clip(weights, -MOST, MOST, out=weights)
     held.unpersist()
-    return Weights(table, bias)
 
 
-def _finish(buckets: int, classes: Classes, held):
+def _finish(buckets: int, held):
     def result(table: pa.Table, known: pa.Table) -> pa.Table:
-        table_, bias = held.value
-        weights = Weights(table_, bias)
-        keys, _ = _group_counts(table)
-        count = np.zeros(len(keys), np.int64)
-        bucket = X.bucket_of(keys, buckets)
+        model = held.value
+        words, _ = _group_counts(table)
+        count = np.zeros(len(words), np.int64)
+        bucket = _bucket(words, buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b, p in zip(known["kind"].to_pylist(), known["payload"], strict=True):
             count[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(zstandard.decompress(p.as_buffer()), np.int64)
+        corpus = dict(zip(words, count.tolist(), strict=True))
         rows = table.num_rows
         n_tokens, n_known, base, score = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
         text = table["text"].combine_chunks()
-        size = B.text_buffer(text)[1]
-        denominator = np.log10(classes.tokens + classes.types + 1)
-        lo = 0
-        while lo < rows:  # about a megabyte at a time
-            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + (1 << 20), side="right")) - 1)
+        denominator = np.log10(model.tokens + model.types + 1)
+        for lo, hi in _slices(text, 2 << 20):
             tokens = Tokens(text.slice(lo, hi - lo))
-            c = count[np.searchsorted(keys, tokens.keys)]
+            c = np.array([corpus[w] for w in tokens.words], np.int64)[tokens.index]
             heads = tokens.bounds[:-1]
             n_tokens[lo:hi] = np.diff(tokens.bounds)
             n_known[lo:hi] = np.add.reduceat((c > 0).astype(np.int64), heads)
             base[lo:hi] = np.add.reduceat(np.log10(c + 1.0) - denominator, heads)
-            if classes.tokens:
-                cls = tokens.classes(classes.singles)
-                score[lo:hi] = np.add.reduceat(weights.log_prob(tokens.features(cls), cls) + classes.word(cls, c), heads) / np.log(10)
+            if model.tokens:
+                contexts, path = tokens.contexts()
+                each = [model.log_prob(contexts[:, at : at + BATCH], path[at : at + BATCH], c[at : at + BATCH]) for at in range(0, len(path), BATCH)]
+                score[lo:hi] = np.add.reduceat(np.concatenate(each), heads) / np.log(10)
             else:
                 score[lo:hi] = base[lo:hi]
-            lo = hi
-        return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "held_out": table["held"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": pa.array(np.full(rows, classes.tokens), pa.int64()), "base_score": base, "score": score})
+        B.tidy()
+        return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "held_out": table["held"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": pa.array(np.full(rows, model.tokens), pa.int64()), "base_score": base, "score": score})
 
     return result
 
 
-def score_corpus(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: Column, rates: tuple[float, ...] = RATES) -> DataFrame:
     """Score every text, learning from the rows where held_out is false.
 
     docs needs doc_id and text; other columns are ignored. Tokens are words
-    (A-Z lower-cased) and one end for each text; null text is empty. Returns a
-    row for each input row: doc_id, held_out, n_tokens, n_known (tokens that
-    occur in training texts), train_tokens, base_score (add-one unigram, log10)
-    and score (the model's log10 probability of the text; the base score if
-    there is nothing to learn from).
+    (A-Z lower-cased) and one end for each text; null text is empty, and texts
+    of any length are read whole. Returns a row for each input row, repeated
+    rows included: doc_id, held_out (a null held_out is false), n_tokens, n_known
+    (tokens that occur in training texts), train_tokens, base_score (add-one
+    unigram, log10) and score (the model's log10 probability of the text; the
+    base score if there is nothing to learn from). Equal texts get equal scores;
+    words of equal counts are not ranked, so ties cannot change a score.
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     total = text_bytes(docs)
     rows = X.grouped(docs, group_count(2 * total), held=F.coalesce(held_out, F.lit(False)))
-    buckets = bucket_count(total * 0.35)
+    buckets = bucket_count(total * 0.25)
     known = materialize(X.reply(X.ask(rows, _send_counts(buckets)), _totals), "counts")
-    joined = known.where("kind < 0").groupBy("kind").applyInArrow(lambda t: X.answers([(-1, t["kind"][0].as_py(), _join_stats([p for _, p in X.payloads(t)]))]), X.ANSWER).collect()  # at most 64 rows
-    if joined:
-        classes = Classes(*_parse_stats(_join_stats([bytes(r["payload"]) for r in joined])))
-    else:
-        classes = Classes(np.zeros((2, SHAPES + 1), np.int64), np.empty(0, U64), np.empty(0, np.int64))
-    weights = Weights(np.zeros((TEMPLATES * SLOTS, CLASSES), np.float32), classes.bias())
+
+    def add(table: pa.Table) -> pa.Table:
+        return X.answers(_statistics(*np.concatenate([_unpack(p) for _, p in X.payloads(table)], axis=1)))
+
+    joined = known.where("kind < 0").groupBy("kind").applyInArrow(add, X.ANSWER).collect()  # one row for each first class, 16**4 paths at most
+    model = Model(*(np.concatenate([_unpack(r["payload"]) for r in joined], axis=1) if joined else np.zeros((3, 0), np.int64)))
     learn = docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col("text").cast("string").alias("text"))
-    for turn in range(rounds if classes.tokens else 0):
-        weights = _train(learn, weights, classes.singles, turn, rounds)
-    held = spark.sparkContext.broadcast((weights.table, weights.bias))
-    return X.finish(rows, known.where("kind >= 0"), _finish(buckets, classes, held), SCHEMA)
+    learn = learn.coalesce(max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / 96e6)))  # fewer and larger sums; no shuffle
+    for rate in rates if model.tokens else ():
+        _train(learn, model, rate)
+    held = spark.sparkContext.broadcast(model)
+    return X.finish(rows, known.where("kind >= 0"), _finish(buckets, held), SCHEMA)
