@@ -75,10 +75,13 @@ def pack_samples(payload: bytes) -> bytes:
     return b"".join((ftyp, moov(len(ftyp) + len(moov(0)) + head), box(b"mdat", payload)))
 
 
-def boxes(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, depth first. A box that claims more than its parent ends with it; fewer than 8 bytes end the walk."""
-    end = len(data) if end is None else end
-    while end - start >= 8:
+def boxes(data) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, body start, body end) of every box, depth first. A box that claims more than its parent ends with it; fewer than 8 bytes end a level. Paths keep their last four names, as boxes may nest to any depth."""
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if end - start < 8:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and end - start >= 16:
@@ -86,12 +89,12 @@ def boxes(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...]
             body += 8
         stop = end if size == 0 else min(end, start + size)
         if stop < body:
-            return
-        here = (*path, kind)
+            continue
+        here = (*path[-3:], kind)
         yield here, body, stop
+        todo.append((stop, end, path))
         if kind in CONTAINERS:
-            yield from boxes(data, body + CONTAINERS[kind], stop, here)
-        start = stop
+            todo.append((body + CONTAINERS[kind], stop, here))
 
 
 @dataclass
@@ -119,51 +122,66 @@ class Track:
         return np.stack([self.offsets[firsts], ends[np.append(firsts[1:], len(ends)) - 1]], axis=1)
 
 
-def _u32(data, at: int, n: int) -> np.ndarray:
+def _u32(data, at: int, n: int, end: int) -> np.ndarray:
+    """n numbers of a table that ends at `end`; a table that claims more is broken."""
+    if n < 0 or at + 4 * n > end:
+        raise ValueError("a table is longer than its box")
     return np.frombuffer(data, ">u4", n, at).astype(np.int64)
 
 
+def _counted(data, tables: dict[bytes, tuple[int, int]], kind: bytes, per: int = 1) -> np.ndarray:
+    """The entries of a full box that holds their number and then `per` numbers for each."""
+    at, end = tables[kind]
+    return _u32(data, at + 8, per * struct.unpack_from(">I", data, at + 4)[0], end).reshape(-1, per)
+
+
+def _repeat(values: np.ndarray, times: np.ndarray, most: int) -> np.ndarray:
+    """np.repeat up to `most` entries, however often the table says."""
+    reach = np.minimum(np.cumsum(np.minimum(times, most)), most)
+    return np.repeat(values, np.diff(reach, prepend=0))
+
+
 def _expand(track: Track, tables: dict[bytes, tuple[int, int]], data) -> None:
-    """Per-sample sizes, offsets, durations and sync flags from the sample tables."""
+    """Per-sample sizes, offsets, durations and sync flags from the sample tables. Samples of one size need no table, so the size of the file bounds their number."""
     if b"stsz" in tables:
-        at, _ = tables[b"stsz"]
+        at, end = tables[b"stsz"]
         one, n = struct.unpack_from(">II", data, at + 4)
-        track.sizes = np.full(n, one, np.int64) if one else _u32(data, at + 12, n)
+        if one * n > len(data):
+            raise ValueError("samples of one size reach beyond the file")
+        track.sizes = np.full(n, one, np.int64) if one else _u32(data, at + 12, n, end)
     elif b"stz2" in tables:
         at, end = tables[b"stz2"]
         bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
-        raw = np.frombuffer(data, np.uint8, end - at - 12, at + 12)
-        track.sizes = (np.stack([raw >> 4, raw & 15], 1).ravel() if bits == 4 else raw if bits == 8 else raw[: 2 * n].view(">u2"))[:n].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8, max(0, end - at - 12), at + 12)
+        track.sizes = (np.stack([raw >> 4, raw & 15], 1).ravel() if bits == 4 else raw if bits == 8 else raw[: len(raw) // 2 * 2].view(">u2"))[:n].astype(np.int64)
     n = len(track.sizes)
     if b"co64" in tables:
-        at, _ = tables[b"co64"]
-        chunks = np.frombuffer(data, ">u8", struct.unpack_from(">I", data, at + 4)[0], at + 8).astype(np.int64)
+        pairs = _counted(data, tables, b"co64", 2)
+        chunks = pairs[:, 0] << 32 | pairs[:, 1]
     elif b"stco" in tables:
-        at, _ = tables[b"stco"]
-        chunks = _u32(data, at + 8, struct.unpack_from(">I", data, at + 4)[0])
+        chunks = _counted(data, tables, b"stco")[:, 0]
     else:
         chunks = np.empty(0, np.int64)
     if b"stsc" in tables and len(chunks) and n:
-        at, _ = tables[b"stsc"]
-        runs = _u32(data, at + 8, 3 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 3)
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))[: len(chunks)]
-        chunk = np.repeat(np.arange(len(per)), per)[:n]
+        runs = _counted(data, tables, b"stsc", 3)
+        heads = np.append(runs[:, 0], len(chunks) + 1)
+        if (np.diff(heads) < 0).any():
+            raise ValueError("chunk runs go backwards")
+        per = _repeat(runs[:, 1], np.diff(heads), len(chunks))
+        chunk = _repeat(np.arange(len(per)), per, n)
         before = np.cumsum(track.sizes[: len(chunk)]) - track.sizes[: len(chunk)]
-        head = np.searchsorted(chunk, np.arange(len(per)))
-        head = head[head < len(chunk)]
+        head = np.minimum(np.searchsorted(chunk, np.arange(len(per))), max(0, len(chunk) - 1))
         track.sizes = track.sizes[: len(chunk)]
-        track.offsets = chunks[chunk] + before - before[head][chunk]
+        track.offsets = chunks[chunk] + before - before[head][chunk] if len(chunk) else np.empty(0, np.int64)
         n = len(chunk)
     else:
         track.sizes, n = track.sizes[:0], 0
     if b"stts" in tables and n:
-        at, _ = tables[b"stts"]
-        runs = _u32(data, at + 8, 2 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 2)
-        track.ticks = np.repeat(runs[:, 1], runs[:, 0])[:n]
+        runs = _counted(data, tables, b"stts", 2)
+        track.ticks = _repeat(runs[:, 1], runs[:, 0], n)
     track.sync = np.ones(n, bool)
     if b"stss" in tables and n:
-        at, _ = tables[b"stss"]
-        marks = _u32(data, at + 8, struct.unpack_from(">I", data, at + 4)[0])
+        marks = _counted(data, tables, b"stss")[:, 0]
         track.sync = np.zeros(n, bool)
         track.sync[marks[(marks >= 1) & (marks <= n)] - 1] = True
 
@@ -187,7 +205,7 @@ def _fragment(track: Track, data, moof: int, tfhd: tuple[int, int], runs: list[t
     if flags & 32:
         (sample_flags,) = struct.unpack_from(">I", data, at)
     place = base
-    for at, _ in runs:
+    for at, end in runs:
         flags, n = struct.unpack_from(">II", data, at)
         flags &= 0xFFFFFF
         at += 8
@@ -199,7 +217,9 @@ def _fragment(track: Track, data, moof: int, tfhd: tuple[int, int], runs: list[t
             (first,) = struct.unpack_from(">I", data, at)
             at += 4
         cols = [bool(flags & f) for f in (0x100, 0x200, 0x400, 0x800)]
-        rows = _u32(data, at, n * sum(cols)).reshape(n, -1)
+        if not any(cols) and n * max(1, size) > len(data):
+            raise ValueError("samples of one size reach beyond the file")
+        rows = _u32(data, at, n * sum(cols), end).reshape(n, -1)
         own = dict(zip([i for i, c in enumerate(cols) if c], rows.T, strict=True))
         sizes = own.get(1, np.full(n, size, np.int64))
         marks = own.get(2, np.full(n, sample_flags, np.int64)).copy()
@@ -253,7 +273,7 @@ def read_samples(data: bytes, track: Track) -> bytes:
     return b"".join(view[a:b] for a, b in track.ranges().tolist())
 
 
-def _row(text: str | None) -> tuple:
+def _row(text: str | None, with_media: bool) -> tuple:
     raw = (text or "").encode()
     payload = raw + bytes(-len(raw) % BLOCK or (BLOCK if not raw else 0))
     media = pack_samples(payload)
@@ -261,7 +281,7 @@ def _row(text: str | None) -> tuple:
     back = read_samples(media, track)
     keys = track.keyframes()
     feature = f"{track.codec.strip()}/{track.handler} timescale={track.timescale} duration={track.duration} samples={len(track.sizes)} chunks={-(-len(track.sizes) // SAMPLES_PER_CHUNK)} keyframes={len(keys)} ranges={hashlib.sha256(keys.astype('<i8').tobytes()).hexdigest()[:16]}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, media, track.codec.strip(), track.duration / track.timescale, [{"offset": o, "size": s} for o, s in keys.tolist()]
+    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, media if with_media else None, track.codec.strip(), track.duration / track.timescale, [{"offset": o, "size": s} for o, s in keys.tolist()] if with_media else None
 
 
 _RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
@@ -269,6 +289,18 @@ _ARROW = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256":
 _DDL = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, codec string, seconds double, keyframes array<struct<offset:long,size:long>>"
 
 
+def _row_slices(texts: list[str | None], most: int = 8 << 20, rows: int = 256) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `rows` rows and about `most` characters."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most or i + 1 - lo >= rows:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def store_texts(docs: DataFrame, with_media: bool = True) -> DataFrame:
     """Each text stored as a media file, read back and described.
 
@@ -276,7 +308,9 @@ def store_texts(docs: DataFrame, with_media: bool = True) -> DataFrame:
     with zero bytes to a positive multiple of 64 (null: empty, so 64 zeros).
     Returns a row for each input row: doc_id; n_bytes, payload and media sizes
     and digests; feature; codec, seconds, and with with_media the file and its
-    keyframe byte ranges (else null). Equal texts give equal values.
+    keyframe byte ranges (else null). Equal texts give equal values, repeated rows
+    a row each. The files of a slice of about 8 million characters are in memory
+    together, and only with with_media.
     """
     prepare(docs.sparkSession)
     names = list(_ARROW)
@@ -284,9 +318,10 @@ def store_texts(docs: DataFrame, with_media: bool = True) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):  # the files of a slice are in memory together
-                part = batch.slice(lo, 256)
-                cols = list(zip(*map(_row, part.column(1).to_pylist()), strict=True))
+            texts = batch.column(1).to_pylist()
+            for lo, hi in _row_slices(texts):
+                part = batch.slice(lo, hi - lo)
+                cols = list(zip(*(_row(t, with_media) for t in texts[lo:hi]), strict=True))
                 arrays = [pa.array([None] * part.num_rows if n in skip else c, _ARROW[n]) for n, c in zip(names, cols, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", *names])
 
@@ -297,8 +332,10 @@ def describe_media(files: DataFrame, media: str = "media") -> DataFrame:
     """codec, handler, seconds, sample count and keyframe byte ranges of the first track of each file.
 
     Adds columns weft_codec, weft_handler, weft_seconds, weft_samples and
-    weft_keyframes to files. Null, truncated or foreign bytes give nulls and no
-    keyframes.
+    weft_keyframes to files. Null, truncated or foreign bytes, and files whose
+    tables are longer than their boxes or point outside, give nulls and no
+    keyframes; boxes may nest to any depth, and no count in a file makes a task
+    hold more than a few numbers for each of its bytes.
     """
     prepare(files.sparkSession)
 
@@ -311,7 +348,7 @@ def describe_media(files: DataFrame, media: str = "media") -> DataFrame:
             try:
                 t = describe(bytes(raw))[0]
                 rows.append((t.codec, t.handler, t.duration / t.timescale if t.timescale else None, len(t.sizes), [{"offset": o, "size": s} for o, s in t.keyframes().tolist()]))
-            except (TypeError, IndexError, ValueError, struct.error):
+            except (TypeError, IndexError, ValueError, OverflowError, struct.error):
                 rows.append((None, None, None, None, []))
         return pd.DataFrame(rows, columns=["codec", "handler", "seconds", "samples", "keyframes"])
 
