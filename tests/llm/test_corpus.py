@@ -76,6 +76,25 @@ def test_media_boxes_of_other_writers(spark):
     assert got[0].weft_samples == 3 and got[1].weft_codec is None and got[2].weft_codec is None
 
 
+def test_media_hostile_files(spark):
+    """Counts beyond the file, tables beyond their box, nesting without end: null, and no memory or recursion to speak of."""
+    import struct
+
+    from weft.llm import iso_media as M
+
+    def track(stsz, stsc=(1, 2**32 - 1, 1), stts=(2**32 - 1, 1)):
+        stbl = M.box(b"stbl", M.full(b"stsz", 0, 0, *stsz), M.full(b"stco", 0, 0, struct.pack(">II", 1, 8)), M.full(b"stsc", 0, 0, struct.pack(">IIII", 1, *stsc)), M.full(b"stts", 0, 0, struct.pack(">III", 1, *stts)))
+        return M.box(b"moov", M.box(b"trak", M.full(b"tkhd", 0, 0, bytes(8), struct.pack(">I", 1), bytes(64)), M.box(b"mdia", M.box(b"minf", stbl))))
+
+    nested = b""
+    for _ in range(5000):
+        nested = M.box(b"moov", nested)
+    one = struct.pack(">II", 1, 2**32 - 1)
+    files = [track([one]), track([struct.pack(">II", 0, 2**32 - 1)]), nested, track([struct.pack(">II", 0, 3), struct.pack(">III", 4, 5, 6)]), track([struct.pack(">II", 0, 3), struct.pack(">III", 4, 5, 6)], stsc=(1, 0, 1))]
+    got = M.describe_media(spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "k int, media binary")).orderBy("k").collect()
+    assert [r.weft_samples for r in got] == [None, None, None, 3, 0]
+
+
 def test_media_empty_table(empty):
     from weft.llm.iso_media import store_texts
 
@@ -434,8 +453,8 @@ def test_html_templates():
     right = 0
     for _ in range(80):
         source = H.sample_page(r)
-        page = H.Page(source)
-        right += next(H.extract([source], model)) == page.text(np.array([v == 1 for v in page.label]))
+        page = H.Page(source, keep=True)
+        right += next(H.extract([source], model)) == page.text(np.array([v == 1 for v in page.labels()]))
     assert right >= 74
 
 
@@ -465,6 +484,25 @@ def test_html_awkward(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_hostile_pages():
+    """Attributes that look like training labels, and elements that are never closed."""
+    import time
+
+    from weft.llm import html_extract as H
+
+    model = H.train()
+    prose = "".join(f"<p>Sentence number {i} of a text that goes on, as texts do.</p>" for i in range(6))
+    for mark in ('y="50%"', "y=1", "y=0", 'y="x"'):
+        (got,) = H.extract([f"<body><article {mark}>{prose}</article></body>"], model)
+        assert got.count("Sentence") == 6
+    took = []
+    for n in (4000, 32000):
+        began = time.perf_counter()
+        H.Page("<article>" + "<b>x</p><i>" * n + "<div><span class=ad>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]  # eight times the length; quadratic would be sixty-four
+
+
 def test_html_stray_quotes_keep_the_rest_of_the_page():
     from weft.llm.html_extract import Page
 

@@ -34,7 +34,7 @@ TAG = re.compile(COMMENT + r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/
 #: Tags that end at the first > whatever the quotes.
 LOOSE = re.compile(COMMENT + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|" + DECLARATION, re.S)
 OPENS = re.compile(r"<[a-zA-Z/!?]")
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop|y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,30 +65,52 @@ N_KINDS = len(set(KINDS.values()))
 class Page:
     """Structural nodes in document order and the text between block boundaries."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, keep: bool = False):
+        """keep: hold the attributes too, for labels()."""
+        self.keep = keep
+        self.attributes: list[str] = [""]
         self.tag: list[str] = ["#root"]
         self.parent: list[int] = [-1]
         self.depth: list[int] = [0]
         self.hints: list[tuple[int, ...]] = [()]
-        self.label: list[int] = [-1]
         #: (node, text, inside a link); text None is a block boundary
         self.events: list[tuple[int, str | None, bool]] = []
         self._parse(source)
 
     def _parse(self, s: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # tag and its structural node
+        #: where the open elements of each tag stand in the stack, and where those stand that are not inline
+        where: dict[str, list[int]] = {}
+        blocks = [0]
         events = self.events
-        links = 0
         at = 0
         rule = TAG
+
+        def push(tag: str, node: int) -> None:
+            where.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
+            stack.append((tag, node))
+
+        def cut(i: int) -> None:
+            """Close the element at place i and all in it: each is closed once."""
+            while len(stack) > i:
+                where[stack.pop()[0]].pop()
+            while blocks[-1] >= i:
+                blocks.pop()
+
+        def last(tag: str) -> int:
+            """The place of the innermost open element of that tag, else 0."""
+            return where[tag][-1] if where.get(tag) else 0
+
         while True:
             lo = s.find("<", at)
             if lo > at or lo < 0 and at < len(s):
-                events.append((stack[-1][1], s[at : lo if lo >= 0 else len(s)], links > 0))
+                events.append((stack[-1][1], s[at : lo if lo >= 0 else len(s)], bool(where.get("a"))))
             if lo < 0:
                 return
             if not OPENS.match(s, lo):
-                events.append((stack[-1][1], "<", links > 0))
+                events.append((stack[-1][1], "<", bool(where.get("a"))))
                 at = lo + 1
                 continue
             m = rule.match(s, lo)
@@ -103,17 +125,13 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1]:
-                if tag == "p" and not any(t == "p" for t, _ in stack):
+                i = last(tag)
+                if tag == "p" and not i:
                     events.append((stack[-1][1], None, False))
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        if any(t not in INLINE for t, _ in stack[i:]):
-                            events.append((stack[i][1], None, False))
-                        del stack[i:]
-                        break
-                    if tag in INLINE and stack[i][0] not in INLINE:
-                        break
+                if i and (tag not in INLINE or i >= blocks[-1]):
+                    if blocks[-1] >= i:
+                        events.append((stack[i][1], None, False))
+                    cut(i)
                 continue
             if tag in RAW:
                 if tag == "head":  # what it holds are raw or void elements
@@ -125,57 +143,49 @@ class Page:
             if tag in VOID:
                 events.append((stack[-1][1], " " if tag in ("br", "wbr", "img", "input") else None, False))
                 continue
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            if tag in CLOSES_P and (i := last("p")) and i >= blocks[-1]:
+                cut(i)
             if tag in SIBLINGS:
                 same, limit = SIBLINGS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in same:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] in limit:
-                        break
+                i = max(map(last, same))
+                if i and i > max(map(last, limit)):
+                    cut(i)
             if m[3].endswith("/") and tag not in INLINE and tag not in KINDS:
                 continue
             if tag in INLINE:
-                links += tag == "a"
-                if m[3] and tag in ("span", "a", "small", "ins") and self._hints(m[3])[0]:
-                    stack.append((tag, self._node(tag, m[3], stack[-1][1])))
+                if m[3] and tag in ("span", "a", "small", "ins") and self._hints(m[3]):
+                    push(tag, self._node(tag, m[3], stack[-1][1]))
                 else:
-                    stack.append((tag, stack[-1][1]))
+                    push(tag, stack[-1][1])
                 continue
             node = self._node(tag, m[3], stack[-1][1])
             events.append((node, None, False))
-            stack.append((tag, node))
+            push(tag, node)
 
     @staticmethod
-    def _hints(attributes: str) -> tuple[tuple[int, ...], int]:
-        found, label = set(), -1
+    def _hints(attributes: str) -> tuple[int, ...]:
+        found = set()
         if "=" in attributes:
             for m in ATTRIBUTE.finditer(attributes):
-                value = m[2] or m[3] or m[4] or ""
-                if m[1] == "y":
-                    label = int(value)
-                else:
-                    found.update(h for t in TOKEN.findall(value) if (h := HINTS.get(t.lower())) is not None)
-        return tuple(found), label
+                found.update(h for t in TOKEN.findall(m[2] or m[3] or m[4] or "") if (h := HINTS.get(t.lower())) is not None)
+        return tuple(found)
 
     def _node(self, tag: str, attributes: str, parent: int) -> int:
-        hints, label = self._hints(attributes)
         self.tag.append(tag)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1)
-        self.hints.append(hints)
-        self.label.append(self.label[parent] if label < 0 else label)
+        self.hints.append(self._hints(attributes))
+        self.attributes.append(attributes if self.keep else "")
         return len(self.tag) - 1
 
+    def labels(self) -> list[int]:
+        """What the attribute y of a generated page says of each node; it passes to descendants. Pages that are extracted never get here."""
+        out = [-1]
+        for parent, attributes in zip(self.parent[1:], self.attributes[1:], strict=True):
+            m = re.search(r" y=([01])", attributes)
+            out.append(int(m[1]) if m else out[parent])
+        return out
+
     def features(self) -> np.ndarray:
         """A row for each node but the root."""
         n = len(self.tag)
@@ -399,9 +409,9 @@ def train(pages: int = 1000, seed: int = 11) -> boosting.Boosted:
     r = random.Random(seed)
     x, y = [], []
     for _ in range(pages):
-        page = Page(sample_page(r))
+        page = Page(sample_page(r), keep=True)
         x.append(page.features())
-        y.append([max(0, v) for v in page.label[1:]])
+        y.append([max(0, v) for v in page.labels()[1:]])
     return boosting.fit(np.concatenate(x), np.concatenate(y).astype(float))
 
 
@@ -426,6 +436,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     pages needs page_id, url and html; other columns are ignored. Null, empty
     and tagless html give an empty text; blocks are joined by an empty line.
+    Broken markup loses no text: a quote counts only directly after an equals
+    sign, a tag whose quote has no partner ends at the next >, and elements that
+    are left open end with their parent. Pages of any length are read whole, in
+    time that grows with their length; repeated pages get a row each, and equal
+    html gives equal text.
     """
     prepare(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(train())  # fixed size
