@@ -541,8 +541,7 @@ def test_packing_awkward(spark, awkward, empty):
     packing = pytest.importorskip("weft.llm.packing")
     path = packing.default_tokenizer()
     tok = tokenizers.Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    rows = awkward + [(20, "Don't, stop... I'LL 12.5 é. ΟΔΟΣ, “q”,,. 。x <|endoftext|> z\u0085y\u001cz")]
+    rows = awkward + [(20, "Don't, stop... I'LL 12.5 é. ΟΔΟΣ, “q”,,. 。x z\u0085y\u001cz"), (21, "a <|endoftext|> b"), (22, "a<|startoftext|>b <|ENDOFTEXT|> don't"), (23, "caf\u0065\u0301! ÀÖ× ÷ß. naïve's 'tis it's' x'l 'll")]
     want = collections.Counter()
     for d, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]

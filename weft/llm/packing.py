@@ -13,6 +13,9 @@ in the table of places.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterable
 
@@ -21,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bytesops as B
 from .common import materialize, prepare
 
 END_ID = 1
-CACHE = 400_000
+CACHE = 800_000
 PIECES_PER_PART = 20000
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, _Tokenizer] = {}
+#: One run of letters (ASCII, or a Latin letter of two bytes) and then ASCII marks: each run is one word of the vocabulary's pattern.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -35,49 +41,81 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _loaded(path: str) -> tuple:
-    if path not in _TOKENIZERS:
-        import os
+class _Tokenizer:
+    """A tokenizer file, and the ids of what it has encoded so far. by_chunk: white space parts the texts, lower-cased, into chunks whose ids are those of the text in a row; each word of the pattern ends in a token of `last`."""
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS[path] = (tokenizer, {})
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("normalizer") or {}).get("normalizers") or []
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_chunk = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in split["pattern"].get("Regex", "") and bool(suffix) and not spec.get("truncation")
+        self.special = [x["content"].encode().lower() for x in spec.get("added_tokens") or []]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.words: dict[bytes, bytes] = {}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, encoded as it is."""
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [np.array(x.ids, "<u4").tobytes() for x in encode(texts, add_special_tokens=False)]
+
+    def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk. Single words are encoded many at a time, parted at their last tokens and remembered; the memory is emptied at a fixed number of words."""
+        match, known = PLAIN.fullmatch, self.words
+        parts = [m.groups() if (m := match(c)) else None for c in chunks]
+        words = {x for p in parts if p for x in p}
+        if len(known) + len(words) > CACHE:
+            known.clear()
+        todo = list(words - known.keys())
+        for lo in range(0, len(todo), 2048):
+            some = todo[lo : lo + 2048]
+            (raw,) = self.plain([b" ".join(some).decode()])
+            cuts = [0, *((np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()]
+            known.update(zip([x for x in some if x], [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        known[b""] = b""
+        other = iter(self.plain([c.decode() for c, p in zip(chunks, parts, strict=True) if not p]))
+        return [known[p[0]] + known[p[1]] if p else next(other) for p in parts]
+
+
+def _loaded(path: str) -> _Tokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _Tokenizer(path)
     return _TOKENIZERS[path]
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers, END_ID appended.
+    """The ids of each text as little-endian unsigned 32-bit integers, END_ID appended: what encode(text, add_special_tokens=False) gives.
 
-    The vocabulary lower-cases and drops white space before it splits into
-    words, so the ids of a text are those of its space-separated chunks in a
-    row, and a chunk that ends in a full stop or comma after a letter is the
-    chunk without it and the stop. Chunks are encoded once; the cache is
-    emptied at a fixed number of entries.
+    The default vocabulary lower-cases and drops white space before it splits
+    into words, so the ids of a text are those of its space-separated chunks in
+    a row; equal chunks of these texts are encoded once. Texts that hold the string of an added token, and all texts of a
+    tokenizer that is built otherwise, are encoded whole.
     """
-    tokenizer, cache = _loaded(path)
-    split = [(t or "").encode().lower().split() for t in texts]
-    need = set().union(*split) - cache.keys() if split else set()
-    if need:
-        if len(cache) + len(need) > CACHE:
-            cache.clear()
-            need = set().union(*split)
-        tail = {c for c in need if len(c) > 1 and c[-1] in b".," and (97 <= c[-2] <= 122)}
-        plain = (need - tail) | {c[:-1] for c in tail} | {b".", b","}
-        plain = list(plain - cache.keys())
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        for chunk, done in zip(plain, encode([c.decode() for c in plain], add_special_tokens=False), strict=True):
-            cache[chunk] = np.array(done.ids, "<u4").tobytes()
-        for c in tail:
-            cache[c] = cache[c[:-1]] + cache[c[-1:]]
+    own = _loaded(path)
     end = END_ID.to_bytes(4, "little")
-    get = cache.__getitem__
-    return [b"".join(map(get, chunks)) + end for chunks in split]
+    lower = [(t or "").encode().lower() for t in texts]
+    whole = [i for i, x in enumerate(lower) if not own.by_chunk or any(s in x for s in own.special)]
+    for i in whole:
+        lower[i] = b""
+    data = np.frombuffer(b"".join(lower), np.uint8)
+    chunks, index, bounds = B.distinct_words(data, np.cumsum([0, *map(len, lower)]))
+    ids = own.chunk_ids(chunks).__getitem__
+    cuts = bounds.tolist()
+    out = [b"".join(map(ids, index[a:b].tolist())) + end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for i, raw in zip(whole, own.plain([texts[i] or "" for i in whole]), strict=True):
+        out[i] = raw + end
+    return out
 
 
-def _slices(texts: list[str | None], most: int = 2 << 20) -> Iterable[tuple[int, int]]:
+def _slices(texts: list[str | None], most: int = 4 << 20) -> Iterable[tuple[int, int]]:
     """Row ranges of about `most` characters."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
