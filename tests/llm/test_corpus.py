@@ -140,7 +140,54 @@ def test_language_awkward(spark, awkward, empty):
     try:
         assert (slot_counts("abc déf " * 500) == whole).all()
     finally:
-        langid.BLOCK = 1 << 18
+        langid.BLOCK = 1 << 15
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any fixed number, each with letters of its own."""
+    from weft.llm.langid import identify, learn
+
+    words = {f"l{k:03}": [chr(0x4E00 + 20 * k + j) + chr(0x4E00 + 20 * k + (3 * j + 1) % 20) for j in range(20)] for k in range(600)}
+    r = random.Random(1)
+    train = spark.createDataFrame([(" ".join(r.choices(w, k=30)), k) for k, w in words.items() for _ in range(3)], "text string, lang string")
+    assert learn(train).labels == sorted(words)
+    docs = frame(spark, [(i, " ".join(r.choices(w, k=30))) for i, w in enumerate(words.values())])
+    got = {x.doc_id: x.lang_pred for x in identify(docs, train).collect()}
+    assert np.mean([got[i] == k for i, k in enumerate(words)]) > 0.97
+
+
+def test_language_marks_belong_to_words():
+    from weft.llm.langid import clean
+
+    assert clean("हिन्दी, भाषा!") == " हिन्दी भाषा " and clean("12 \u0301 !") == "" and clean("A1b") == " a b "
+
+
+def test_language_decoding_by_hand():
+    """Margins by a plain dictionary of n-grams, codewords by a plain sum of weighted losses."""
+    from weft.llm import langid as L
+
+    r = np.random.default_rng(5)
+    labels = ["a", "b", "c", "d", "e", "f", "g"]
+    code = L.codewords(7)
+    bits = code.shape[1]
+    model = L.Model(labels, code, r.normal(size=(1 << L.BITS, bits)).astype(np.float32), r.normal(size=bits), r.random(bits) + 0.1, 100.0)
+
+    def slot(gram):
+        h = 0
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+        return h * 0x85EBCA6B % 2**32 >> 32 - L.BITS
+
+    for text in ("Plain words, and more", "é", "a" * 70000, "ñandú " * 9000):
+        t = L.clean(text)
+        grams = collections.Counter(t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1))
+        total = sum(n * model.weights[slot(g)].astype(float) for g, n in grams.items())
+        margins = total / sum(grams.values()) * 100 + model.bias
+        assert np.allclose(model.margins(t), margins, rtol=1e-6, atol=1e-6)
+        loss = [sum(w * math.log1p(math.exp(-c * m)) for w, c, m in zip(model.trust, row, margins, strict=True)) for row in code.tolist()]
+        label, score, _ = model.decode(model.margins(t))
+        assert label == labels[loss.index(min(loss))] and score == pytest.approx(1 / sum(math.exp(min(loss) - x) for x in loss), rel=1e-4)
 
 
 def test_language_learned_beside_one_hot_text(spark):

@@ -8,12 +8,16 @@ equally near are flagged as ambiguous.
 
 Features are hashed relative frequencies of 1- to 4-grams, so a text's score is
 the mean of the weights of its n-grams: one pass with array operations,
-whatever its length. The classifiers are fitted on a bounded sample:
-``per_lang`` different texts of each language.
+block by block, whatever its length. The classifiers are fitted on a bounded
+sample: ``per_lang`` different texts of each language, fewer if that would make
+more than TEXTS in all, but at least LEAST. Every lang value is learned.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,9 +28,11 @@ from .common import materialize, prepare
 PER_LANG = 600
 BITS = 15
 ORDERS = (1, 2, 3, 4)
-MOST_LANGS = 512
+TEXTS = 6000
+LEAST = 8
+PART = 1 << 25
 UNKNOWN = "und"
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 U32 = np.uint32
 
 
@@ -47,43 +53,51 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
     return best
 
 
+class _Kept(dict):
+    """For str.translate: letters and marks stay, all else becomes a space; found out once for each character."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c if unicodedata.category(chr(c))[0] in "LM" else 32
+        return self[c]
+
+
+_KEPT = _Kept()
+
+
 def clean(text: str | None) -> str:
     """Lower case; each run of other than letters and marks is one space; a space at either end. Empty without a letter."""
-    if not text:
+    words = (text or "").lower().translate(_KEPT).split()
+    if not any(c.isalpha() for w in words for c in w):
         return ""
-    text = text.lower()
-    kept = "".join([c if c.isalpha() else " " for c in text]) if not text.isascii() else text.translate(_ASCII)
-    words = kept.split()
-    return f" {' '.join(words)} " if words else ""
-
+    return f" {' '.join(words)} "
 
-_ASCII = {c: " " for c in range(128) if not chr(c).isalpha()}
 
-
-def gram_slots(text: str) -> np.ndarray:
-    """Hashed slots of the n-grams of a cleaned text, all orders one after the other."""
-    codes = np.frombuffer(text.encode("utf-32-le"), U32)
+def gram_slots(text: str, skip: int = 0) -> np.ndarray:
+    """Hashed slots of the n-grams of a cleaned text that end at place `skip` or later, all orders one after the other."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), U32)
     out, h = [], np.zeros(len(codes), U32)
     for n in ORDERS:
         if len(codes) < n:
             break
         h = (h[: len(codes) - n + 1] ^ codes[n - 1 :]) * U32(0x9E3779B1)
         h ^= h >> U32(15)
-        out.append((h * U32(0x85EBCA6B)) >> U32(32 - BITS))
+        out.append((h[max(0, skip - n + 1) :] * U32(0x85EBCA6B)) >> U32(32 - BITS))
     return np.concatenate(out)
 
 
-def slot_counts(text: str | None) -> np.ndarray:
-    """Counts of the slots, block by block so that memory does not follow the length of the text."""
-    text = clean(text)
-    total = np.zeros(1 << BITS, np.int64)
+def blocks(text: str) -> Iterator[np.ndarray]:
+    """The slots of all n-grams of a cleaned text in blocks, so that memory does not follow its length."""
     over = max(ORDERS) - 1
     for lo in range(0, len(text), BLOCK):
-        total += np.bincount(gram_slots(text[lo : lo + BLOCK]), minlength=1 << BITS)
-        if lo:  # grams that cross the cut; those inside the overlap count once already
-            seam = text[max(0, lo - over) : lo + over]
-            mid = min(over, lo)
-            total += np.bincount(gram_slots(seam), minlength=1 << BITS) - np.bincount(gram_slots(seam[:mid]), minlength=1 << BITS) - np.bincount(gram_slots(seam[mid:]), minlength=1 << BITS)
+        before = min(lo, over)
+        yield gram_slots(text[lo - before : lo + BLOCK], before)
+
+
+def slot_counts(text: str | None) -> np.ndarray:
+    """How often each slot occurs."""
+    total = np.zeros(1 << BITS, np.int64)
+    for slots in blocks(clean(text)):
+        total += np.bincount(slots, minlength=1 << BITS)
     return total
 
 
@@ -98,15 +112,9 @@ class Model:
         if not text:
             return None
         total, n = np.zeros(self.weights.shape[1], np.float64), 0
-        if len(text) <= BLOCK:
-            slots = gram_slots(text)
-            if len(slots) > 1 << BITS:
-                total, n = np.bincount(slots, minlength=1 << BITS) @ self.weights, len(slots)
-            else:
-                total, n = self.weights[slots].sum(axis=0, dtype=np.float64), len(slots)
-        else:
-            counts = slot_counts(text)
-            total, n = counts @ self.weights, int(counts.sum())
+        for slots in blocks(text):
+            total += self.weights[slots].sum(axis=0, dtype=np.float64)
+            n += len(slots)
         return total / n * self.scale + self.bias
 
     def decode(self, margins: np.ndarray | None) -> tuple[str, float, bool]:
@@ -127,41 +135,52 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 60) ->
     if not labels:
         return Model([], np.empty((0, 1), np.int8), np.zeros((1 << BITS, 1), np.float32), np.zeros(1), np.ones(1), 1.0)
     code = codewords(len(labels))
-    row = np.repeat(np.arange(len(samples)), [len(s[1]) for s in samples])
-    col = np.concatenate([s[1] for s in samples])
     scale = 100.0
-    value = np.concatenate([s[2] / s[2].sum() for s in samples]).astype(np.float32) * np.float32(scale)
-    y = code[[labels.index(s[0]) for s in samples]].astype(np.float32)
-    heads = np.cumsum([0, *(len(s[1]) for s in samples)])[:-1]
-    by_col = np.argsort(col, kind="stable")
-    col_ids, col_heads = np.unique(col[by_col], return_index=True)
+    number = {label: i for i, label in enumerate(labels)}
+    y = code[[number[s[0]] for s in samples]].astype(np.float32)
+    # a few samples at a time: what one step holds does not grow with the number of languages
+    parts, lo, most = [], 0, max(1, PART // code.shape[1])
+    reach = np.cumsum([len(s[1]) for s in samples])
+    while lo < len(samples):
+        hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + most, side="right")))
+        some = samples[lo:hi]
+        col = np.concatenate([s[1] for s in some])
+        value = np.concatenate([s[2] / s[2].sum() for s in some]).astype(np.float32) * np.float32(scale)
+        sizes = np.array([len(s[1]) for s in some])
+        by_col = np.argsort(col, kind="stable")
+        ids, first = np.unique(col[by_col], return_index=True)
+        parts.append((slice(lo, hi), col, value[:, None], np.cumsum(sizes) - sizes, np.repeat(np.arange(hi - lo), sizes), by_col, ids, first))
+        lo = hi
     weights, bias = np.zeros((1 << BITS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, v = np.zeros_like(weights), np.zeros_like(weights)
-    balance = 1 / np.maximum(1, (y[:, None, :] == np.array([-1, 1])[None, :, None]).sum(axis=0))
+    balance = 1 / np.maximum(1, np.stack([(y == k).sum(axis=0) for k in (-1, 1)]))
     weight = np.where(y > 0, balance[1], balance[0]).astype(np.float32) / 2
     for t in range(1, rounds + 1):
-        f = np.add.reduceat(weights[col] * value[:, None], heads) + bias
-        g = -y * weight / (1 + np.exp(np.clip(y * f, -30, 30)))
-        grad = np.zeros_like(weights)
-        grad[col_ids] = np.add.reduceat((g[row] * value[:, None])[by_col], col_heads)
-        grad += 1e-6 * weights
+        grad, shift = 1e-6 * weights, np.zeros_like(bias)
+        for at, col, value, heads, row, by_col, ids, first in parts:
+            f = np.add.reduceat(weights[col] * value, heads) + bias
+            g = -y[at] * weight[at] / (1 + np.exp(np.clip(y[at] * f, -30, 30)))
+            grad[ids] += np.add.reduceat((g[row] * value)[by_col], first)
+            shift += g.sum(axis=0)
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
         weights -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        bias -= 0.5 * g.sum(axis=0)
-    f = np.add.reduceat(weights[col] * value[:, None], heads) + bias
-    right = ((y * f > 0) * weight).sum(axis=0)
+        bias -= 0.5 * shift
+    right = np.zeros(code.shape[1])
+    for at, col, value, heads, *_ in parts:
+        right += ((y[at] * (np.add.reduceat(weights[col] * value, heads) + bias) > 0) * weight[at]).sum(axis=0)
     trust = np.clip(2 * right - 1, 0.05, 1.0)
     return Model(labels, code, weights, bias.astype(np.float64), trust / trust.mean(), scale)
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fit on up to per_lang different texts of each lang value (chosen by a hash of the text); at most MOST_LANGS languages, the most frequent ones."""
+def learn(docs: DataFrame, per_lang: int = PER_LANG, texts: int = TEXTS) -> Model:
+    """Fit on up to per_lang different texts of each lang value (chosen by a hash of the text), fewer where all of them would be more than `texts`, but at least LEAST each."""
     prepare(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     # copies are one text from here on
     keys = materialize(known.groupBy("lang", "key").agg(F.count("*").alias("n")), "languages")
-    counts = keys.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    counts = keys.groupBy("lang").agg(F.count("*").alias("texts")).collect()  # a row a language
+    per_lang = max(LEAST, min(per_lang, texts // max(1, len(counts))))
     # a hash threshold for each language leaves about four times what is kept, so that ranking sees few rows
     limit = {r["lang"]: min(1.0, 4 * per_lang / r["texts"]) for r in counts}
     if not limit:
@@ -170,7 +189,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     few = F.broadcast(docs.sparkSession.createDataFrame(list(limit.items()), "lang string, share double"))
     near = keys.join(few, "lang").where(h < F.col("share"))
     picked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(h, "key"))).where(F.col("rank") <= per_lang).select("lang", "key")
-    chosen = known.join(F.broadcast(picked), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))  # at most per_lang * MOST_LANGS keys
+    chosen = known.join(F.broadcast(picked), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))  # TEXTS keys, or LEAST for each language
 
     def count(batches):
         for batch in batches:
@@ -190,7 +209,9 @@ def identify(docs: DataFrame, train: DataFrame, per_lang: int = PER_LANG) -> Dat
     train gives text and lang to learn from; docs needs doc_id and text, and
     its other columns are ignored. lang_pred is a learned value, `und` (score 0)
     if the text is null or has no letter or nothing was learned. Equal texts get
-    equal predictions.
+    equal predictions, repeated rows a row each, and texts of any length are read
+    whole. Of equally near codewords the first label in order wins, and the row is
+    ambiguous. Copies in train count as one text.
     """
     prepare(docs.sparkSession)
     model = learn(train, per_lang)
