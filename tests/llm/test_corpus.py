@@ -702,6 +702,50 @@ def test_grammar_scores_clauses():
     assert score("") == g.rest
 
 
+def test_composed_machine_against_a_plain_reading():
+    """The table of the composed transducers against the rules written out over the whole clause."""
+    from weft.llm import toxicity as T
+
+    weights = {"reported": -0.7, "negated": -0.9, "plain": 0.1, "directed": 0.5, "threat": 1.5}
+    machine = T.Machine(weights)
+    r = random.Random(8)
+
+    def plain(kinds):
+        best = 0
+        for i, k in enumerate(kinds):
+            near = lambda c: c in kinds[max(0, i - T.SCOPE) : i]
+            hold = 1 if near(T.SAY) else 2 if near(T.NOT) else 0
+            aimed = T.AIM in kinds[:i]
+            if k == T.INSULT:
+                best = max(best, hold or (4 if aimed else 3))
+            elif k == T.HARM and aimed:
+                best = max(best, hold or 5)
+            elif k == T.AIM and best == 3:
+                best = 4
+            elif k == T.AIM and near(T.HARM) and not hold:
+                best = max(best, 5)
+        return T.PATTERNS[best]
+
+    for _ in range(20000):
+        kinds = [r.randrange(6) if r.random() < 0.6 else T.OTHER for _ in range(r.randint(0, 14))]
+        pattern, weight = machine.read(kinds)
+        assert pattern == plain(kinds) and weight == pytest.approx(weights.get(pattern, 0.0))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_held_out(spark, sf):
+    from weft.llm.common import held_out
+    from weft.llm.toxicity import score_toxicity
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = held_out(F.col("doc_id"), 4, 2)
+    rows = score_toxicity(docs, labels.where(~out)).join(labels.where(out).select("doc_id", "toxic"), "doc_id").collect()
+    assert np.mean([r.predicted for r in rows if r.toxic]) >= 0.9
+    assert np.mean([r.predicted for r in rows if not r.toxic]) <= 0.01
+
+
 def test_grammar_reads_long_clauses_whole():
     from weft.llm.toxicity import Grammar
 

@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers over word classes (insult, threat, target, negation,
-reported speech) are composed into one machine that reads a clause from left to
-right and ends with the pattern it found: a plain or a directed insult, a
-threat against a target, or either one negated or reported. Clauses are scored,
-not isolated words.
+Small transducers over word classes are composed into one machine: three mark
+the words in the reach of reported speech, of a negation and of a threat, one
+those after a target, and the last reads these marks with the insults. It walks
+a clause from left to right and ends with the pattern it found: a plain or a
+directed insult, a threat against a target, or either one negated or reported.
+Arcs carry weights, and a clause scores the weight of its path and of its
+strongest lexicon entry; isolated words score nothing.
 
 What counts as an insult is learned from a bounded sample of labelled texts:
 first stems that two or more different words of a text carry on, then, from the
@@ -16,9 +18,11 @@ else covers all rows.
 
 from __future__ import annotations
 
+import collections
+import functools
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import discard, materialize, prepare
 
 #: Labelled texts that are learned from: so many toxic ones and CLEAN times as many others.
 PER_CLASS = 3000
@@ -37,7 +41,8 @@ CLEAN = 3
 MARGIN = 3.0
 BEGINNINGS = range(3, 9)
 STEMS = range(4, 9)
-MOST_CANDIDATES = 20000
+#: Words of one text that carry a stem on, for the stem to count on the evidence of a few texts.
+BURST = 4
 #: A clause ends at a sentence mark or a line end.
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -58,59 +63,88 @@ def word_class(word: str) -> int:
     return AIM if word in TARGET else NOT if word in NEGATION else SAY if word in REPORT else HARM if word in THREAT else OTHER
 
 
-class Machine:
-    """The composed transducer: a state is (target seen, negation reach, report reach, harm seen, best pattern so far); the table is built from its parts once."""
+@dataclass
+class Transducer:
+    """A deterministic finite-state transducer: step(state, symbol) gives the next state, the symbol written and the weight of the arc; it starts in `start`."""
 
-    def __init__(self):
-        self.number: dict[tuple, int] = {}
-        self.table: list[list[int]] = []
-        self.best: list[int] = []
-        self._add((0, 0, 0, 0, 0))
+    start: object
+    step: Callable[[object, object], tuple[object, object, float]]
+
+
+def mark(first: Callable[[object, int], object], now: Callable[[object], bool], start: object = 0) -> Transducer:
+    """Copies its input and appends whether `now` holds of the words before it; `first` moves the state by the word's class."""
+    return Transducer(start, lambda state, symbol: (first(state, symbol[0]), (*symbol, now(state)), 0.0))
+
+
+def within(kind: int) -> Transducer:
+    """Marks the words that stand up to SCOPE words after one of a class."""
+    return mark(lambda left, k: SCOPE if k == kind else max(0, left - 1), bool)
 
-    @staticmethod
-    def _move(state: tuple, kind: int) -> tuple:
-        aim, no, say, harm, best = state
-        # each transducer reads the word, then the pattern transducer reads their states
+
+def ever(kind: int) -> Transducer:
+    """Marks the words that stand anywhere after one of a class."""
+    return mark(lambda seen, k: seen or k == kind, bool, False)
+
+
+def scorer(weights: dict[str, float]) -> Transducer:
+    """Reads (class, reported, negated, aimed, after harm); its state is the strongest pattern so far, and an arc to a stronger one weighs what that adds."""
+    value = [0.0, *(weights[p] for p in PATTERNS[1:])]
+
+    def step(best: int, symbol: tuple) -> tuple[int, tuple, float]:
+        kind, said, denied, aimed, harm = symbol
+        held_back = 1 if said else 2 if denied else 0
+        found = 0
         if kind == INSULT:
-            found = 1 if say else 2 if no else 4 if aim else 3
-        elif kind == HARM:
-            found = (1 if say else 2 if no else 5) if aim else 0
+            found = held_back or (4 if aimed else 3)
+        elif kind == HARM and aimed:
+            found = held_back or 5
         elif kind == AIM:
-            found = 4 if best == 3 else 5 if harm and not (no or say) else 0
-        else:
-            found = 0
-        no = SCOPE if kind == NOT else max(0, no - 1)
-        say = SCOPE if kind == SAY else max(0, say - 1)
-        harm = SCOPE if kind == HARM else max(0, harm - 1)
-        return (aim or int(kind == AIM), no, say, harm, max(best, found))
-
-    def _add(self, state: tuple) -> int:
-        todo = [state]
-        self.number[state] = 0
-        while todo:
-            s = todo.pop()
+            found = 4 if best == 3 else 5 if harm and not held_back else 0
+        after = max(best, found)
+        return after, symbol, value[after] - value[best]
+
+    return Transducer(0, step)
+
+
+def compose(left: Transducer, right: Transducer) -> Transducer:
+    """One transducer that gives what `left` writes to `right`; weights along a path add up."""
+
+    def step(state: tuple, symbol: object) -> tuple[tuple, object, float]:
+        one, between, w = left.step(state[0], symbol)
+        two, written, v = right.step(state[1], between)
+        return (one, two), written, w + v
+
+    return Transducer((left.start, right.start), step)
+
+
+class Machine:
+    """The grammar's transducers composed into one, with its reachable arcs in tables."""
+
+    def __init__(self, weights: dict[str, float]):
+        whole = functools.reduce(compose, [within(SAY), within(NOT), ever(AIM), within(HARM), scorer(weights)])
+        number = {whole.start: 0}
+        self.arcs: list[list[tuple[int, float]]] = []
+        self.best: list[int] = []
+        for state in (todo := [whole.start]):  # grows while it is read
             row = []
             for kind in range(6):
-                t = self._move(s, kind)
-                if t not in self.number:
-                    self.number[t] = len(self.number)
-                    todo.append(t)
-                row.append(self.number[t])
-            while len(self.table) <= self.number[s]:
-                self.table.append([])
-                self.best.append(0)
-            self.table[self.number[s]] = row
-            self.best[self.number[s]] = s[4]
-        return 0
-
-    def read(self, kinds: Iterable[int]) -> int:
-        s, table = 0, self.table
+                after, _, weight = whole.step(state, (kind,))
+                if after not in number:
+                    number[after] = len(number)
+                    todo.append(after)
+                row.append((number[after], weight))
+            self.arcs.append(row)
+            self.best.append(state[1])
+
+    def read(self, kinds: Iterable[int]) -> tuple[str, float]:
+        """The pattern that a clause ends with and the weight of its path."""
+        state, total, arcs = 0, 0.0, self.arcs
         for k in kinds:
-            s = table[s][k]
-        return self.best[s]
+            state, weight = arcs[state][k]
+            total += weight
+        return PATTERNS[self.best[state]], total
 
 
-_MACHINE = Machine()
 _CLAUSES = pa.list_(pa.struct([("pattern", pa.string()), ("weight", pa.float64())]))
 
 
@@ -125,14 +159,16 @@ class Grammar:
     rest: float = 0.02
 
     def automaton(self):
+        """The lexicon as one automaton over characters, and the machine over word classes."""
         found = ahocorasick.Automaton()
         for entry in {*self.words, *self.beginnings, *self.stems, *THREAT}:
             found.add_word(entry, (entry, self.words.get(entry), self.beginnings.get(entry), self.stems.get(entry), entry in THREAT))
         found.make_automaton()
-        return found
+        return found, Machine(self.patterns)
 
-    def clauses(self, text: str, automaton) -> list[tuple[str, float]]:
-        """(pattern, weight) of each clause that has one."""
+    def clauses(self, text: str, machines) -> list[tuple[str, float]]:
+        """(pattern, weight) of each clause that has one: the weight of its path and of its strongest lexicon entry. One walk over the hits and the clause ends."""
+        automaton, machine = machines
         text = text.lower()
         hits: dict[int, float | None] = {}
         carried: dict[tuple[str, float], dict[str, list[int]]] = {}
@@ -168,23 +204,24 @@ class Grammar:
             weights = [w for h in places[first:i] if (w := hits[h]) is not None]
             kinds = [INSULT if hits.get(m.start()) is not None else word_class(m.group()) for m in WORD.finditer(text, lo, stop)]
             lo = after
-            pattern = PATTERNS[_MACHINE.read(kinds)]
+            pattern, weight = machine.read(kinds)
             if pattern != "none":
-                out.append((pattern, max(weights, default=self.patterns["threat"])))
+                out.append((pattern, weight + max(weights, default=self.patterns["threat"])))
         return out
 
     def weigh(self, found: list[tuple[str, float]]) -> float:
         """Probability that a text with these clauses is toxic: the strongest one, raised a little by each further one."""
         if not found:
             return self.rest
-        odds = sorted((w + self.patterns[p] for p, w in found), reverse=True)
+        odds = sorted((w for _, w in found), reverse=True)
         total = odds[0] + 0.3 * math.log(len(odds))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
 def _features(text: str) -> set[str]:
-    """The distinct words of a text (marked by a final $), their beginnings, and the stems that two of them carry on (a final +)."""
-    out, once = set(), set()
+    """The distinct words of a text (marked by a final $), their beginnings, and the stems that two of them carry on (a final +) or BURST of them (a final *)."""
+    out: set[str] = set()
+    carried: collections.Counter[str] = collections.Counter()
     for w in set(WORD.findall(text.lower())):
         out.add(w + "$")
         for k in BEGINNINGS:
@@ -192,9 +229,12 @@ def _features(text: str) -> set[str]:
                 break
             out.add(w[:k])
             if k in STEMS and k < len(w):
-                if w[:k] in once:
-                    out.add(w[:k] + "+")
-                once.add(w[:k])
+                carried[w[:k]] += 1
+    for stem, n in carried.items():
+        if n > 1:
+            out.add(stem + "+")
+        if n >= BURST:
+            out.add(stem + "*")
     return out
 
 
@@ -210,7 +250,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         picked.append(known.where((F.col("toxic") == k) & (place <= cut)).orderBy(place, "doc_id").limit(n))
     ids = picked[0].union(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most (1 + CLEAN) * per_class ids
-    return rows.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("key", F.xxhash64("text"))
 
 
 def _origin(text: str) -> int:
@@ -228,25 +268,30 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Gra
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 texts = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([_origin(t) for t in texts], pa.int64()), part.column(2), pa.array([sorted(_features(t)) for t in texts], pa.list_(pa.string()))], names=["origin", "toxic", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array([_origin(t) for t in texts], pa.int64()), part.column(0), part.column(2), pa.array([sorted(_features(t)) for t in texts], pa.list_(pa.string()))], names=["origin", "key", "toxic", "features"])
 
-    apart = sample_labelled(docs, labels, per_class).select("key", "text", "toxic").mapInArrow(take_apart, "origin long, toxic int, features array<string>")
-    sample = materialize(apart.groupBy("origin", "toxic").agg(F.first("features").alias("features")), "toxicity")
+    apart = materialize(sample_labelled(docs, labels, per_class).select("key", "text", "toxic").mapInArrow(take_apart, "origin long, key long, toxic int, features array<string>"), "toxicity")
+    # of near copies one is learned from: the one of smallest hash
+    one = apart.groupBy("origin", "toxic").agg(F.min("key").alias("key"))
+    sample = materialize(apart.join(F.broadcast(one), ["origin", "toxic", "key"], "left_semi").dropDuplicates(["origin", "toxic"]).select("origin", "toxic", "features"), "toxicity")
+    discard(apart)
     size = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not size.get(1):
         return Grammar()
     clean, toxic = size.get(0, 0), size[1]
     base = toxic / (clean + toxic) if clean else 0.5
     grammar = Grammar()
-    found = _evidence(sample, base, ~F.col("feature").endswith("+"))
+    found = _evidence(sample, base, ~F.col("feature").rlike("[+*]$"))
     stems = {f[:-1]: n for f, n in _evidence(sample, base, F.col("feature").endswith("+")).items()}
+    for entry, n in _bursts(sample, toxic).items():
+        stems.setdefault(entry, n)
     for entry in choose(stems):
         if not any(_as_good(found.get(b), stems[entry]) for b in [entry[:k] for k in BEGINNINGS] + [b for b in found if b.startswith(entry)]):
             grammar.stems[entry] = _weight(*stems[entry])
     if grammar.stems:
         # what speaks without the stems: words that only go along with them do not
         left = sample.where(~F.arrays_overlap("features", F.array(*[F.lit(x + "+") for x in grammar.stems])))
-        found = _evidence(left, base, ~F.col("feature").endswith("+"))
+        found = _evidence(left, base, ~F.col("feature").rlike("[+*]$"))
     for entry in choose(found):
         (grammar.words if entry.endswith("$") else grammar.beginnings)[entry.rstrip("$")] = _weight(*found[entry])
     if grammar.words or grammar.beginnings or grammar.stems:
@@ -274,7 +319,18 @@ def _evidence(sample: DataFrame, base: float, family) -> dict[str, tuple[int, in
     q = F.col("bad") / F.col("n")
     gain = F.col("bad") * F.log(q / base) + F.when(q < 1, (F.col("n") - F.col("bad")) * F.log((1 - q) / (1 - base))).otherwise(0.0)
     sure = counted.where((q >= 0.6) & (gain >= math.log(max(2, tested)) + MARGIN))
-    return {r["feature"]: (r["bad"], r["n"]) for r in sure.orderBy(F.desc("bad"), "feature").limit(MOST_CANDIDATES).collect()}
+    out = {r["feature"]: (r["bad"], r["n"]) for r in sure.collect()}  # of the sample, which is bounded
+    discard(counted)
+    return out
+
+
+def _bursts(sample: DataFrame, toxic: int) -> dict[str, tuple[int, int]]:
+    """(toxic texts, texts) of the stems that BURST words of a text carry on in at least two and in one of a hundred toxic texts, and in no other text. Where only a few toxic texts are known, this is the evidence there is; clean texts hardly ever carry such a stem on."""
+    exploded = sample.select("toxic", F.explode("features").alias("feature"))
+    sure = exploded.where(F.col("feature").endswith("*")).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(f"n = bad and n >= greatest(2, {toxic} / 100)")
+    stems = sure.select(F.expr("rtrim('*', feature) || '+'").alias("feature"))
+    counted = exploded.join(F.broadcast(stems), "feature").groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    return {r["feature"][:-1]: (r["bad"], r["n"]) for r in counted.collect()}
 
 
 def choose(found: dict[str, tuple[int, int]]) -> list[str]:
@@ -313,11 +369,11 @@ def _tune(docs: DataFrame, labels: DataFrame, grammar: Grammar, per_class: int)
     names = list(PATTERNS[1:])
 
     def look(batches):
-        machine = grammar.automaton()
+        machines = grammar.automaton()
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = {p for p, _ in grammar.clauses(text, machine)}
+                found = {p for p, _ in grammar.clauses(text, machines)}
                 if len(found) == 1:
                     rows.append((found.pop(), toxic))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["pattern", "toxic"])
@@ -344,7 +400,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     labels that may be learned from. With scored (doc_id, text), the grammar is
     learned from docs and those rows are scored instead. Other columns are ignored and labels never
     enter a score. Null and empty texts have no clause and get the score of a
-    text without a match; without usable labels only threats match.
+    text without a match; without usable labels only threats match. Texts and
+    clauses of any length are read whole; repeated rows get a row each and equal
+    texts equal scores. Labels that contradict each other count as toxic, and of
+    lexicon entries that find the same texts the shortest is taken.
     """
     prepare(docs.sparkSession)
     grammar = learn(docs, labels, per_class)
@@ -352,9 +411,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
         grammar = _tune(docs, labels, grammar, per_class)
 
     def work(batches):
-        machine = grammar.automaton()
+        machines = grammar.automaton()
         for batch in batches:
-            found = [grammar.clauses(t or "", machine) for t in batch.column(1).to_pylist()]
+            found = [grammar.clauses(t or "", machines) for t in batch.column(1).to_pylist()]
             score = np.array([grammar.weigh(f) for f in found])
             clauses = pa.array([[{"pattern": p, "weight": w} for p, w in f] for f in found], _CLAUSES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), clauses], names=["doc_id", "score", "predicted", "clauses"])
