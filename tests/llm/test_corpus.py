@@ -350,7 +350,9 @@ def _classes(points, bits=2):
     return {int(p): int(points[find(i)]) for i, p in enumerate(points)}
 
 
-def test_vantage_point_shards_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("shard", [150, 700, 10])
+def test_vantage_point_shards_lose_no_link(spark, monkeypatch, shard):
+    """Several trees, one tree with boundaries, and shards that the sample does not tell apart."""
     from weft.llm import simhash
 
     rng = np.random.default_rng(3)
@@ -361,13 +363,15 @@ def test_vantage_point_shards_lose_no_link(spark, monkeypatch):
                 c = c ^ np.uint64(1 << int(b))
             points.append(np.array([c]))
     points = np.unique(np.concatenate(points))
-    monkeypatch.setattr(simhash, "SHARD", 150)
     monkeypatch.setattr(simhash, "LEAF", 16)
+    if shard == 10:
+        monkeypatch.setattr(simhash, "SAMPLE", 3)
+        monkeypatch.setattr(simhash, "SAMPLE_SHARD", 0)
     df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fingerprint long")
-    edges = np.array([[r.a, r.b] for r in simhash.link_forest(df).collect()], np.int64).view(np.uint64)
+    edges = np.array([[r.a, r.b] for r in simhash.link_forest(df, shard=shard).collect()], np.int64).view(np.uint64)
     assert (np.bitwise_count(edges[:, 0] ^ edges[:, 1]) <= 2).all()
     want = _classes(points)
-    roots = {int(np.int64(r.node).view(np.uint64)): int(np.int64(r.root).view(np.uint64)) for r in simhash.components(simhash.link_forest(df)).collect()}
+    roots = {int(np.int64(r.node).view(np.uint64)): int(np.int64(r.root).view(np.uint64)) for r in simhash.components(simhash.link_forest(df, shard=shard)).collect()}
     groups = collections.defaultdict(set)
     for k, v in roots.items():
         groups[v].add(k)
@@ -377,6 +381,31 @@ def test_vantage_point_shards_lose_no_link(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in expected.values() if len(g) > 1}
 
 
+def test_visits_do_not_grow_with_the_shards():
+    """2**20 random points: three copies of each whatever the number of shards, and no linked pair without a common shard."""
+    from weft.llm import simhash as S
+
+    r = np.random.default_rng(1)
+    points = np.unique(r.integers(0, 2**64, 1 << 20, dtype=np.uint64))
+    pairs = points[:2000]
+    near = pairs ^ (np.uint64(1) << r.integers(0, 64, 2000, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 2000, dtype=np.uint64))
+    for shards in (64, 512, 4096):
+        met, most = np.zeros(2000, bool), 0
+        for m in S.masks(3):
+            tree = S.grow(points[:: max(1, len(points) // (32 * shards))], shards, m, 0)
+            of = [np.full(len(p), -1) for p in (points, pairs, near)]
+            for p, out in zip((points, pairs, near), of, strict=True):
+                for leaf, home, at in S.route(tree, p, 0, m):
+                    if home:
+                        assert (out[at] < 0).all()
+                        out[at] = leaf
+                    else:
+                        assert not len(at)
+            met |= of[1] == of[2]
+            most = max(most, np.bincount(of[0]).max())
+        assert met.all() and most < 4 * len(points) / shards
+
+
 def test_components(spark):
     from weft.llm.components import components
 
