@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import fresh, prepare, row_keys
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower-cased, and in the text as it stands.
@@ -41,15 +41,15 @@ def windows(benchmark: DataFrame, size: int = 13) -> DataFrame:
 
 
 def _hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """rid, doc_id, n_words and, for each verified occurrence, its span and items; the marker row has none."""
-    anchored = docs.select("rid", "doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit(MARK)))).alias("pos", "word"))
+    """The keys, doc_id, n_words and, for each verified occurrence, its span and items; the marker row has none."""
+    anchored = docs.select("key", "check", "doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit(MARK)))).alias("pos", "word"))
     met = anchored.join(F.broadcast(grams), F.col("word") == F.col("anchor"))
     start = F.col("pos") - F.col("at")
     same = F.expr("pos >= at and pos - at + width <= size(w) and array_join(slice(w, pos - at + 1, width), ' ') = gram")
-    return met.where((F.col("width") == 0) | same).select("rid", "doc_id", F.when(F.col("width") == 0, F.size("w")).alias("n"), F.when(F.col("width") > 0, F.struct(start.alias("s"), (start + F.col("width")).alias("e"))).alias("span"), "items")
+    return met.where((F.col("width") == 0) | same).select("key", "check", "doc_id", F.when(F.col("width") == 0, F.size("w")).alias("n"), F.when(F.col("width") > 0, F.struct(start.alias("s"), (start + F.col("width")).alias("e"))).alias("span"), "items")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_bytes: int = 64 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, block_bytes: int = 64 << 20, with_key: bool = False) -> DataFrame:
     """Words of each document that lie in an occurrence of a benchmark window.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are
@@ -57,7 +57,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     items (sorted as strings), spans (merged word ranges), items_sha256 and
     contaminated (n_hit > 0 and share * n_hit >= n_words). Null texts have no
     words; items without words or with a null id have no windows; an item id
-    that occurs twice counts once; an empty benchmark hits nothing.
+    that occurs twice counts once; an empty benchmark hits nothing. Texts of any
+    length are read whole, repeated rows get a row each, and a null doc_id is a
+    document like any other. with_key adds key and check, two hashes of doc_id and
+    text to join rows by.
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
@@ -65,11 +68,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     held = grams.agg(F.sum(F.octet_length("gram") + F.octet_length("anchor") + 64 + F.expr("aggregate(items, 0L, (a, x) -> a + octet_length(x) + 16)"))).first()[0] or 0
     marker = spark.range(1).selectExpr(f"'{MARK}' as anchor", "0 as at", "0 as width", "'' as gram", "cast(array() as array<string>) as items")
     blocks = max(1, -(-int(held) // block_bytes))
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
-    hits = _hits(numbered, (grams if blocks == 1 else grams.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == 0)).unionByName(marker))
+    # rows are known by what they hold, which a recomputed partition cannot change; repeated rows are counted
+    key, check = row_keys(F.col("doc_id"), F.col("text"))
+    hashed = docs.select(key.alias("key"), check.alias("check"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
+    hits = _hits(hashed, (grams if blocks == 1 else grams.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == 0)).unionByName(marker))
     for b in range(1, blocks):
-        hits = hits.unionByName(_hits(numbered, grams.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b)))
-    found = hits.groupBy("rid", "doc_id").agg(F.max("n").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        hits = hits.unionByName(_hits(hashed, grams.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == b)))
+    found = hits.groupBy("key", "check", "doc_id").agg(F.max("n").cast("long").alias("n_words"), F.count("n").alias("copies"), F.array_sort(F.collect_set("span")).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     # sorted spans: open a new one where a gap begins, else stretch the last
     merged = F.expr(
         "aggregate(raw, cast(array() as array<struct<s:int,e:int>>), (a, x) -> if(size(a) > 0 and x.s <= a[size(a) - 1].e, "
@@ -77,26 +82,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     )
     covered = F.expr("aggregate(raw, struct(0L as n, 0 as reach), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.reach)) as n, greatest(a.reach, x.e) as reach), a -> a.n)")
     out = found.withColumn("n_hit", covered).withColumn("spans", merged)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = out.select(F.expr("explode(sequence(1L, copies))").alias("copy"), "*")
+    return out.select(*(["key", "check"] if with_key else []), "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+def _beside(docs: DataFrame, found: DataFrame, how: str) -> tuple[DataFrame, list[str]]:
+    """docs joined with found (key and check first) by what a row holds; and the names of the other columns of found, none of which docs has."""
+    taken = list(docs.columns)
+    names = []
+    for c in found.columns:
+        names.append(fresh(f"weft_{c}", taken))
+        taken.append(names[-1])
+    key, check = row_keys(docs["doc_id"], docs["text"])
+    found = found.toDF(*names)
+    return docs.join(found, (key == found[names[0]]) & (check == found[names[1]]), how), names[2:]
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
-    """docs without the contaminated rows; all columns stay as they are."""
-    bad = find_contamination(_keyed(docs), benchmark, size, share).where("contaminated").select(F.col("doc_id").alias("_weft_key")).distinct()
-    return docs.withColumn("_weft_of", F.xxhash64(F.col("doc_id"), F.col("text"))).join(bad, F.col("_weft_of") == F.col("_weft_key"), "left_anti").drop("_weft_of")
+    """docs without the contaminated rows; all columns stay as they are, whatever their names."""
+    bad = find_contamination(docs, benchmark, size, share, with_key=True).where("contaminated").select("key", "check").distinct()
+    return _beside(docs, bad, "left_anti")[0]
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """docs with hit words taken out of text (the words that stay, in their own case, joined by a space); untouched texts keep their form."""
-    hit = find_contamination(_keyed(docs), benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_weft_key"), F.col("spans").alias("_weft_spans")).dropDuplicates(["_weft_key"])
-    joined = docs.withColumn("_weft_of", F.xxhash64(F.col("doc_id"), F.col("text"))).join(hit, F.col("_weft_of") == F.col("_weft_key"), "left")
+    hit = find_contamination(docs, benchmark, size, with_key=True).where("n_hit > 0").select("key", "check", "spans").dropDuplicates(["key", "check"])
+    joined, (spans,) = _beside(docs, hit, "left")
     own = F.array_remove(F.split(F.col("text"), SEPARATORS_AS_IS), "")
-    kept = F.array_join(F.filter(own, lambda w, i: ~F.exists(F.col("_weft_spans"), lambda s: (s["s"] <= i) & (i < s["e"]))), " ")
-    return joined.withColumn("text", F.when(F.col("_weft_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(own, lambda w, i: ~F.exists(F.col(spans), lambda s: (s["s"] <= i) & (i < s["e"]))), " ")
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bytesops import tidy
 
@@ -28,7 +29,7 @@ _ANSWER_ARROW = pa.schema([("grp", pa.int32()), ("kind", pa.int32()), ("payload"
 
 
 def grouped(docs: DataFrame, groups: int, **more: Column) -> DataFrame:
-    """doc_id, text, row_key (hash of both), grp and the columns of `more` of each row; other columns stay out."""
+    """doc_id, text, row_key (hash of both), grp and the columns of `more` of each row; other columns stay out. row_key only deals rows out: two rows may share one."""
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row_key"), *(c.alias(n) for n, c in more.items())).withColumn("grp", F.pmod(F.col("row_key"), F.lit(groups)).cast("int"))
 
@@ -77,7 +78,7 @@ def pass_on(asked: DataFrame, answer: Callable[[pa.Table], Iterable[tuple[int, i
     return asked.groupBy("bucket").applyInArrow(lambda t: messages(answer(t)), MESSAGE)
 
 
-def finish(docs: DataFrame, known: DataFrame, result: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def finish(docs: DataFrame, known: DataFrame, result: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     return docs.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(result, schema)
 
 

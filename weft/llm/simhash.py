@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, prepare, row_keys
 from .components import components
 
 U64 = np.uint64
@@ -66,15 +66,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, row_key (hash of doc_id and text) and fingerprint (the 64 bits as a signed long) of each row."""
+    """doc_id, row_key and row_check (two hashes of doc_id and text) and fingerprint (the 64 bits as a signed long) of each row."""
     prepare(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
             bits = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits.view(np.int64))], names=["doc_id", "row_key", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(bits.view(np.int64))], names=["doc_id", "row_key", "row_check", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_key")).mapInArrow(work, "doc_id long, row_key long, fingerprint long")
+    key, check = row_keys(F.col("doc_id"), F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row_key"), check.alias("row_check")).mapInArrow(work, "doc_id long, row_key long, row_check long, fingerprint long")
 
 
 def _distance(points: np.ndarray, centre: np.uint64, mask: np.uint64 = ALL) -> np.ndarray:
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, with_key: bo
     included. docs needs doc_id and text; other columns are ignored. Null and
     wordless texts have fingerprint 0 and link like any other; a null doc_id
     takes part but never names a component (null if no other does). with_key
-    adds row_key (hash of doc_id and text) and root, which every component has.
+    adds row_key and row_check (two hashes of doc_id and text) and root, which every component has.
     Repeated rows get a row each; of equal smallest doc_ids there is only one
     value to give. Texts of any length are read whole.
     """
@@ -239,4 +240,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, with_key: bo
     joined = points.join(roots, points["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = joined.join(named, "root").select("fingerprint", "component_id", "root")
-    return marked.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *(["row_key", "root"] if with_key else []))
+    return marked.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *(["row_key", "row_check", "root"] if with_key else []))

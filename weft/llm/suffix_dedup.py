@@ -35,7 +35,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StructType
 
 from . import bytesops as B
 from . import exchange as X
@@ -45,7 +46,7 @@ U64 = np.uint64
 GRAM = 32
 BATCH = 1 << 18
 HOT = 4096
-SCHEMA = "doc_id long, row_key long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept_text string"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -118,13 +119,18 @@ def prefix_boundaries(symbols: np.ndarray, order: np.ndarray, least: int) -> np.
     return found
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    """A group's rows in an order that depends on what they hold alone: a row's place in it stands for the row in messages (only rows that are equal in doc_id and text could change places)."""
+    return table.sort_by([("row_key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+
+
 class _Fragments:
     """Maximal runs of windows with one pick, over the documents of a group."""
 
     def __init__(self, table: pa.Table, window: int):
+        table = _ordered(table)
         self.data, self.starts = B.text_buffer(table["text"])
         self.docs = B.doc_ids(table["doc_id"])
-        self.keys = table["row_key"].to_numpy()
         self.grp = table["grp"][0].as_py() if table.num_rows else -1
         data, starts, n = self.data, self.starts, len(self.data)
         parts: list[tuple[np.ndarray, ...]] = []
@@ -235,7 +241,7 @@ def _send_fragments(buckets: int, window: int, hot: int):
             return
         row = f.rows()[take]
         a, b, pick, abroad, parts = f.a[take], f.b[take], f.pick[take], abroad[take], parts[take]
-        doc, key, at = f.docs[row], f.keys[row], f.a[take] - f.starts[row]
+        doc, key, at = f.docs[row], row.astype(np.int64), f.a[take] - f.starts[row]
         text = _same(f.data.tobytes(), a, b)
         order = np.lexsort((at, doc, text))
         a, b, pick, abroad, parts, doc, key, at, text = (x[order] for x in (a, b, pick, abroad, parts, doc, key, at, text))
@@ -299,7 +305,7 @@ def _repeats(buckets: int, window: int):
 
 
 def _by_group(found: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
-    """The ranges of each group, from (group, row key, start, end) arrays."""
+    """The ranges of each group, from (group, row, start, end) arrays."""
     if not found:
         return
     grp, key, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -351,7 +357,7 @@ def _expand(data: np.ndarray, rows: np.ndarray, begin: np.ndarray, size: np.ndar
 
 
 def _bucket(heads: list[tuple[np.ndarray, ...]], raw: bytes, window: int) -> tuple[list[tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
-    """(group, row key, start, end) of repeated windows, and the windows of split picks that are the earliest here."""
+    """(group, row, start, end) of repeated windows, and the windows of split picks that are the earliest here."""
     grp, pick, doc, key, at, size, hot = (np.concatenate(x) for x in zip(*heads, strict=True))
     begin = np.cumsum(size) - size
     data = np.frombuffer(raw, np.uint8)
@@ -448,21 +454,21 @@ def _without(text: bytes, starts: list[int], ends: list[int], whole: bool) -> by
     return b"".join(out)
 
 
-def _finish(window: int, with_text: bool):
+def _finish(window: int, with_text: bool, with_rest: bool):
     def result(table: pa.Table, known: pa.Table) -> pa.Table:
+        table = _ordered(table)
         data, starts = B.text_buffer(table["text"])
         raw = data.tobytes()
         parts = [_unrange(p) for _, p in X.payloads(known)]
         key, s, e = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
         order = np.argsort(key, kind="stable")
         key, s, e = key[order], s[order], e[order] - 1 + window
-        keys = table["row_key"].to_numpy()
-        lo, hi = np.searchsorted(key, keys).tolist(), np.searchsorted(key, keys, side="right").tolist()
+        cuts = np.searchsorted(key, np.arange(table.num_rows + 1)).tolist()
         at = starts.tolist()
         size, removed, spans, digest, kept_text = [], [], [], [], []
         for i in range(table.num_rows):
             text = raw[at[i] : at[i + 1]]
-            a, b = _merge(s[lo[i] : hi[i]], e[lo[i] : hi[i]]) if hi[i] > lo[i] else (s[:0], s[:0])
+            a, b = _merge(s[cuts[i] : cuts[i + 1]], e[cuts[i] : cuts[i + 1]]) if cuts[i + 1] > cuts[i] else (s[:0], s[:0])
             a, b = a.tolist(), b.tolist()
             size.append(len(text))
             removed.append(sum(b) - sum(a))
@@ -470,22 +476,21 @@ def _finish(window: int, with_text: bool):
             digest.append(hashlib.sha256(_without(text, a, b, False) if a else text).hexdigest())
             kept_text.append((_without(text, a, b, True) if a else text).decode() if with_text else None)
         B.tidy()
-        return pa.table(
-            {"doc_id": table["doc_id"].cast(pa.int64()), "row_key": table["row_key"], "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(x) for x in spans], pa.int64()), "spans": pa.array(spans, _SPANS), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept_text, pa.string())}
-        )
+        out = {"doc_id": table["doc_id"].cast(pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(x) for x in spans], pa.int64()), "spans": pa.array(spans, _SPANS), "kept_sha256": pa.array(digest, pa.string()), "kept_text": pa.array(kept_text, pa.string())}
+        return pa.table(out | ({"rest": table["rest"]} if with_rest else {}))
 
     return result
 
 
-def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, with_key: bool = False, hot: int = HOT) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, rest: Column | None = None, hot: int = HOT) -> DataFrame:
     """Drop every byte covered by a `window`-byte string that also starts earlier.
 
     docs needs doc_id and text; other columns, whatever their names, are
     ignored. Returns a row for each input row: doc_id, n_bytes, n_removed,
     n_spans, spans (maximal removed runs, byte offsets), kept_sha256 (of the
     remaining bytes) and, with with_text, kept_text (spans shrunk to whole
-    characters, else null); with with_key also row_key, xxhash64(doc_id, text),
-    to join rows by. Null text is empty; a null doc_id counts as larger
+    characters, else null); and, with rest, a column of docs that goes along with
+    its row. Null text is empty; a null doc_id counts as larger
     than any other; rows with equal doc_id count as one document, ordered by
     start, so that exact repeats of a row keep their text. Texts of any length are
     read whole; hot is the number of fragments beyond which a pick is split, and
@@ -495,11 +500,13 @@ def dedup_suffixes(docs: DataFrame, window: int = 100, with_text: bool = True, w
         raise ValueError(f"window must be at least {2 * GRAM} bytes")
     prepare(docs.sparkSession)
     total = text_bytes(docs)
-    rows = X.grouped(docs, group_count(total))
+    rows = X.grouped(docs, group_count(total), **({} if rest is None else {"rest": rest}))
     picks = bucket_count(total * 0.25)
     fragments = bucket_count(total * 1.0, least=256, size=3e6)
     shared = X.reply(X.ask(rows, _send_picks(picks, window)), _shared_picks)
     asked = X.pass_on(X.ask_again(rows, shared, _send_fragments(fragments, window, hot)), _repeats(fragments, window))
     found = X.reply(asked, _across)
-    out = X.finish(rows, found, _finish(window, with_text), SCHEMA)
-    return out if with_key else out.drop("row_key")
+    schema = StructType.fromDDL(SCHEMA)
+    if rest is not None:
+        schema = schema.add("rest", rows.schema["rest"].dataType)
+    return X.finish(rows, found, _finish(window, with_text, rest is not None), schema)

@@ -393,22 +393,27 @@ def _tune(docs: DataFrame, labels: DataFrame, grammar: Grammar, per_class: int)
     return grammar
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, scored: DataFrame | None = None) -> DataFrame:
+def fit_grammar(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Grammar:
+    """The grammar that score_toxicity() uses: lexicon and pattern weights."""
+    prepare(docs.sparkSession)
+    grammar = learn(docs, labels, per_class)
+    if grammar.words or grammar.beginnings or grammar.stems:
+        grammar = _tune(docs, labels, grammar, per_class)
+    return grammar
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= threshold) and clauses (pattern and weight of each match) for each row.
 
     docs needs doc_id and text, labels doc_id and toxic: the caller passes the
-    labels that may be learned from. With scored (doc_id, text), the grammar is
-    learned from docs and those rows are scored instead. Other columns are ignored and labels never
+    labels that may be learned from. Other columns are ignored and labels never
     enter a score. Null and empty texts have no clause and get the score of a
     text without a match; without usable labels only threats match. Texts and
     clauses of any length are read whole; repeated rows get a row each and equal
     texts equal scores. Labels that contradict each other count as toxic, and of
     lexicon entries that find the same texts the shortest is taken.
     """
-    prepare(docs.sparkSession)
-    grammar = learn(docs, labels, per_class)
-    if grammar.words or grammar.beginnings or grammar.stems:
-        grammar = _tune(docs, labels, grammar, per_class)
+    grammar = fit_grammar(docs, labels, per_class)
 
     def work(batches):
         machines = grammar.automaton()
@@ -418,6 +423,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
             clauses = pa.array([[{"pattern": p, "weight": w} for p, w in f] for f in found], _CLAUSES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), clauses], names=["doc_id", "score", "predicted", "clauses"])
 
-    rows = docs if scored is None else scored
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, score double, predicted int, clauses array<struct<pattern:string,weight:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, score double, predicted int, clauses array<struct<pattern:string,weight:double>>")
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
+    """docs without the rows whose score reaches the threshold; all columns stay as they are, whatever their names. One scan, no join."""
+    grammar = fit_grammar(docs, labels, per_class)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def work(batches):
+        machines = grammar.automaton()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array([grammar.weigh(grammar.clauses(t or "", machines)) < threshold for t in texts], pa.bool_()))
 
+    return docs.mapInArrow(work, docs.schema)
