@@ -477,11 +477,11 @@ def test_language_model_does_not_depend_on_partitions(spark):
 
 
 def test_probabilities_of_all_words_sum_to_one():
-    from weft.llm.maxent_lm import BRANCH, DEEPEST, END, END_CLASS, TEMPLATES, Model, describe
+    from weft.llm.maxent_lm import BRANCH, DEEPEST, END, END_CLASS, TEMPLATES, Model, Words
 
     rng = np.random.default_rng(0)
     words = [b"%d" % i for i in range(300)] + [END]
-    path = describe(words)[2]
+    path = Words(pa.array(words, pa.binary())).path
     paths, inverse = np.unique(path, return_inverse=True)
     counts = rng.integers(1, 50, len(words))
     m = Model(paths, np.bincount(inverse, weights=counts), np.bincount(inverse))

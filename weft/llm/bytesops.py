@@ -107,20 +107,26 @@ def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def word_table(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different words of some rows, the number of each word in their order, and where each row's words start (one more entry than rows). Words are told apart by their bytes."""
     at, to = word_spans(data, starts)
     bounds = np.searchsorted(at, starts)
     if not len(at):
-        return [], np.empty(0, np.int64), bounds
+        return pa.array([], pa.binary()), np.empty(0, np.int64), bounds
     size = to - at
-    if (size == 0).any() or size.sum() >= 1 << 31:
+    if size.sum() >= 1 << 31:
         raise ValueError("a group holds more than two gigabytes of words")
     offsets = np.zeros(len(at) + 1, np.int32)
     np.cumsum(size, out=offsets[1:])
     packed = data[~_SPACE[data]]
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
-    return words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), bounds
+    return words.dictionary, words.indices.to_numpy(), bounds
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """word_table() with the words as a list."""
+    words, index, bounds = word_table(data, starts)
+    return words.to_pylist(), index.astype(np.int64), bounds
 
 
 def digests(items: list[bytes], seed: int = 0) -> np.ndarray:

@@ -14,7 +14,8 @@ trained by distributed gradient updates in the form of iterative scaling: in
 every round each task adds up, over every position of its texts, how often each
 feature occurred with each class and how often the model expected it; the sums
 of all tasks, which are whole numbers and so do not depend on how rows are dealt,
-give one step for each weight. Texts are scored in sparse numpy batches.
+give one step for each weight. A hash of the text deals every training text to
+one of the rounds, so that each position is learned from once. Texts are scored in sparse numpy batches.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +36,15 @@ from .common import bucket_count, group_count, materialize, prepare, text_bytes
 U64 = np.uint64
 BRANCH = 16
 #: Levels of a full path; a model uses as many of them as its vocabulary asks for.
-DEEPEST = 5
+DEEPEST = 4
+LEAST = 3
+#: Words to a last class, about, from which a model takes another level.
+CROWD = 2048
 #: The first class of the end of a text; words have the others.
 END_CLASS = BRANCH - 1
 TEMPLATES = 4
 #: Steps of the rounds: the share of log(observed / expected) that a weight moves by.
-RATES = (0.45, 0.45, 0.45)
+RATES = (0.75, 0.75, 0.75)
 #: Added to both sides of that quotient.
 PRIOR = 8.0
 #: Expected counts are summed in units of 1 / UNIT.
@@ -56,17 +59,28 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 _FIRST = np.array([(BRANCH**level - 1) // (BRANCH - 1) for level in range(DEEPEST + 1)])
 
 
-def describe(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash, a key of the ending and the full path (DEEPEST digits to the base 16) of each word; the empty word is the end of a text."""
-    hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], U64)
-    tail = np.array([int.from_bytes(w[-3:], "big") for w in words], U64)
-    size = np.array([min(len(w), 4) for w in words], U64)
-    ending = B.mix(tail | size << U64(24))
-    shape = B.mix(tail & U64(0xFFFF) | (size <= U64(3)).astype(U64) << U64(16)) % U64(BRANCH * (BRANCH - 1))
-    rest = 4 * (DEEPEST - 2)
-    path = (shape << U64(rest) | hashed >> U64(64 - rest)).astype(np.int64)
-    path[size == 0] = END_CLASS << 4 * (DEEPEST - 1)
-    return hashed, ending, path
+class Words:
+    """Different words: hashed (128 bits of each, in two columns), a key of the ending, and the full path (DEEPEST digits to the base 16). The empty word is the end of a text."""
+
+    def __init__(self, words: pa.Array):
+        self.bytes = words.to_pylist()
+        self.hashed = B.digests(self.bytes)
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        raw = words.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
+        length = np.diff(at)
+        tail = np.zeros(len(words), U64)
+        for k in range(3):
+            tail |= np.where(length > k, data[np.maximum(at[1:] - 1 - k, 0)], 0).astype(U64) << U64(8 * k)
+        size = np.minimum(length, 4).astype(U64)
+        self.ending = B.mix(tail | size << U64(24))
+        shape = B.mix(tail & U64(0xFFFF) | (size <= U64(3)).astype(U64) << U64(16)) % U64(BRANCH * (BRANCH - 1))
+        rest = 4 * (DEEPEST - 2)
+        self.path = (shape << U64(rest) | self.hashed[:, 0] >> U64(64 - rest)).astype(np.int64)
+        self.path[length == 0] = END_CLASS << 4 * (DEEPEST - 1)
+
+    def buckets(self, buckets: int) -> np.ndarray:
+        return X.bucket_of(self.hashed[:, 1], buckets)
 
 
 class Tokens:
@@ -76,33 +90,39 @@ class Tokens:
         data, starts = B.text_buffer(column)
         upper = (data >= 65) & (data <= 90)
         data = np.where(upper, data | 32, data).astype(np.uint8)
-        self.words, index, bounds = B.distinct_words(data, starts)
+        words, index, bounds = B.word_table(data, starts)
         rows = len(starts) - 1
         self.bounds = bounds + np.arange(rows + 1)  # where each text's tokens start, ends counted in
         n = len(index) + rows
-        self.end = len(self.words)
-        self.words.append(END)
-        self.index = np.full(n, self.end, np.int64)
+        self.words = Words(pa.concat_arrays([words, pa.array([END], pa.binary())]))
+        self.index = np.full(n, len(words), np.int32)
         word = np.ones(n, bool)
         word[self.bounds[1:] - 1] = False
         self.index[word] = index
-        self.owner = np.repeat(np.arange(rows), np.diff(self.bounds))
-        self.place = np.arange(n) - self.bounds[:-1][self.owner] if n else np.empty(0, np.int64)
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """A key of each template for each token, from the tokens before it in its text; and the full path of each token."""
-        hashed, ending, path = describe(self.words)
-        hashed, ending = (np.append(x, U64(0x1B873593)) for x in (hashed, ending))  # what stands before a text
+        #: how many tokens of its text stand before a token, up to three
+        self.before = np.full(n, 3, np.int8)
+        for k in (2, 1, 0):
+            at = self.bounds[:-1] + k
+            self.before[at[at < self.bounds[1:]]] = k
+
+    def __len__(self) -> int:
+        return len(self.index)
+
+    def contexts(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """A key of each template for the tokens lo to hi, from the tokens before them in their text; and their full paths."""
+        blank = len(self.words.bytes)  # stands before a text
         back = []
         for k in (1, 2):
-            at = np.full(len(self.index), len(self.words), np.int64)
-            at[k:] = self.index[: max(0, len(self.index) - k)]
-            at[self.place < k] = len(self.words)
+            at = np.full(hi - lo, blank, np.int64)
+            skip = max(0, k - lo)
+            at[skip:] = self.index[lo + skip - k : hi - k]
+            at[self.before[lo:hi] < k] = blank
             back.append(at)
         one, two = back
+        hashed, ending = (np.append(x, U64(0x1B873593)) for x in (self.words.hashed[:, 0], self.words.ending))
         pair, endings = (B.mix(x[one] * U64(0x9FB21C651E98DF25) + x[two]) for x in (hashed, ending))
-        endings = B.mix(endings + (self.place > 2).astype(U64))
-        return np.stack([hashed[one], pair, hashed[two], endings]), path[self.index]
+        endings = B.mix(endings + (self.before[lo:hi] > 2).astype(U64))
+        return np.stack([endings, hashed[one], hashed[two], pair]), self.words.path[self.index[lo:hi]]
 
 
 class Model:
@@ -113,7 +133,7 @@ class Model:
         end = leaves >> 4 * (DEEPEST - 1) == END_CLASS
         self.tokens, self.types = int(tokens.sum()), int(types.sum())
         words = max(1, self.types - int(end.any()))
-        self.levels = max(2, min(DEEPEST, math.ceil(math.log(max(1, words / 4), BRANCH))))
+        self.levels = max(LEAST, min(DEEPEST, math.ceil(math.log(max(1, words / CROWD), BRANCH))))
         self.bits = max(10, min(15, math.ceil(math.log2(words)) + 1))
         last = leaves >> 4 * (DEEPEST - self.levels)
         size = BRANCH**self.levels
@@ -185,31 +205,27 @@ def _slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _group_counts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    """The different words of a group in order of their bytes, and how often each occurs in its training texts."""
+def _group_counts(table: pa.Table) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """A group's tokens, the order of its words by their hashes, and how often each word occurs in its training texts."""
     tokens = Tokens(table["text"])
-    train = ~table["held"].to_numpy()
-    counts = np.bincount(tokens.index, weights=train[tokens.owner], minlength=len(tokens.words)).astype(np.int64)
-    order = sorted(range(len(tokens.words)), key=tokens.words.__getitem__)
-    return [tokens.words[i] for i in order], counts[order]
-
-
-def _bucket(words: list[bytes], buckets: int) -> np.ndarray:
-    return X.bucket_of(np.array([xxhash.xxh3_64_intdigest(w, 1) for w in words], U64), buckets)
+    train = np.repeat(~table["held"].to_numpy(), np.diff(tokens.bounds))
+    counts = np.bincount(tokens.index[train], minlength=len(tokens.words.bytes))
+    return tokens, np.lexsort(tokens.words.hashed.T), counts
 
 
 def _send_counts(buckets: int):
     def send(table: pa.Table) -> Iterator:
         if not table.num_rows:
             return
-        words, counts = _group_counts(table)
+        tokens, order, counts = _group_counts(table)
+        words = tokens.words.bytes
 
         def pack(i: np.ndarray) -> bytes:
-            mine = [words[j] for j in i.tolist()]
+            mine = [words[j] for j in order[i].tolist()]
             size = np.array(list(map(len, mine)), np.uint32)
-            return len(mine).to_bytes(8, "little") + zstandard.compress(size.tobytes() + counts[i].astype(np.int64).tobytes() + b"".join(mine), 1)
+            return len(mine).to_bytes(8, "little") + zstandard.compress(size.tobytes() + counts[order[i]].astype(np.int64).tobytes() + b"".join(mine), 1)
 
-        yield from X.deal(table["grp"][0].as_py(), _bucket(words, buckets), buckets, pack)
+        yield from X.deal(table["grp"][0].as_py(), tokens.words.buckets(buckets)[order], buckets, pack)
 
     return send
 
@@ -226,8 +242,8 @@ def _totals(table: pa.Table) -> Iterator:
         words.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(raw[12 * n :])]))
         counts.append(np.frombuffer(raw, np.int64, n, 4 * n))
         parts.append((g, n))
-    every = pa.chunked_array([w.cast(pa.large_binary()) for w in words]).combine_chunks().dictionary_encode()
-    index, known = every.indices.to_numpy(), every.dictionary.to_pylist()
+    every = pa.concat_arrays(words).dictionary_encode()
+    index, known = every.indices.to_numpy(), every.dictionary
     total = np.bincount(index, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
     bucket = table["bucket"][0].as_py()
     at = 0
@@ -235,7 +251,7 @@ def _totals(table: pa.Table) -> Iterator:
         yield g, bucket, zstandard.compress(total[index[at : at + n]].tobytes(), 1)
         at += n
     seen = np.flatnonzero(total > 0)
-    path = describe([known[i] for i in seen.tolist()])[2]
+    path = Words(known.take(pa.array(seen))).path
     yield from _statistics(path, total[seen], np.ones(len(seen), np.int64))
 
 
@@ -278,10 +294,10 @@ def _train(rows: DataFrame, model: Model, rate: float) -> None:
         some = False
         for batch in batches:
             column = batch.column(0)
-            for lo, hi in _slices(column, 2 << 20):
-                contexts, path = Tokens(column.slice(lo, hi - lo)).contexts()
-                for at in range(0, len(path), BATCH):
-                    m.tally(contexts[:, at : at + BATCH], path[at : at + BATCH], observed, expected)
+            for lo, hi in _slices(column, 4 << 20):
+                tokens = Tokens(column.slice(lo, hi - lo))
+                for at in range(0, len(tokens), BATCH):
+                    m.tally(*tokens.contexts(at, min(at + BATCH, len(tokens))), observed, expected)
                     some = True
         if some:
             salt = TaskContext.get().partitionId() % salts
@@ -319,31 +335,23 @@ def _train(rows: DataFrame, model: Model, rate: float) -> None:
 def _finish(buckets: int, held):
     def result(table: pa.Table, known: pa.Table) -> pa.Table:
         model = held.value
-        words, _ = _group_counts(table)
-        count = np.zeros(len(words), np.int64)
-        bucket = _bucket(words, buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        tokens, order, _ = _group_counts(table)
+        count = np.zeros(len(order), np.int64)
+        bucket = tokens.words.buckets(buckets)[order]
+        by_bucket = order[np.argsort(bucket, kind="stable")]
+        cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
         for b, p in zip(known["kind"].to_pylist(), known["payload"], strict=True):
-            count[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(zstandard.decompress(p.as_buffer()), np.int64)
-        corpus = dict(zip(words, count.tolist(), strict=True))
+            count[by_bucket[cuts[b] : cuts[b + 1]]] = np.frombuffer(zstandard.decompress(p.as_buffer()), np.int64)
+        heads = tokens.bounds[:-1]
         rows = table.num_rows
-        n_tokens, n_known, base, score = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
-        text = table["text"].combine_chunks()
-        denominator = np.log10(model.tokens + model.types + 1)
-        for lo, hi in _slices(text, 2 << 20):
-            tokens = Tokens(text.slice(lo, hi - lo))
-            c = np.array([corpus[w] for w in tokens.words], np.int64)[tokens.index]
-            heads = tokens.bounds[:-1]
-            n_tokens[lo:hi] = np.diff(tokens.bounds)
-            n_known[lo:hi] = np.add.reduceat((c > 0).astype(np.int64), heads)
-            base[lo:hi] = np.add.reduceat(np.log10(c + 1.0) - denominator, heads)
-            if model.tokens:
-                contexts, path = tokens.contexts()
-                each = [model.log_prob(contexts[:, at : at + BATCH], path[at : at + BATCH], c[at : at + BATCH]) for at in range(0, len(path), BATCH)]
-                score[lo:hi] = np.add.reduceat(np.concatenate(each), heads) / np.log(10)
-            else:
-                score[lo:hi] = base[lo:hi]
+        n_tokens = np.diff(tokens.bounds)
+        c = count[tokens.index]
+        n_known = np.add.reduceat((c > 0).astype(np.int64), heads) if rows else n_tokens
+        base = np.add.reduceat((np.log10(count + 1.0) - np.log10(model.tokens + model.types + 1))[tokens.index], heads) if rows else np.zeros(0)
+        score = base
+        if model.tokens and rows:
+            each = [model.log_prob(*tokens.contexts(at, min(at + BATCH, len(tokens))), c[at : at + BATCH]) for at in range(0, len(tokens), BATCH)]
+            score = np.add.reduceat(np.concatenate(each), heads) / np.log(10)
         B.tidy()
         return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "held_out": table["held"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": pa.array(np.full(rows, model.tokens), pa.int64()), "base_score": base, "score": score})
 
@@ -375,8 +383,9 @@ def score_corpus(docs: DataFrame, held_out: Column, rates: tuple[float, ...] = R
     joined = known.where("kind < 0").groupBy("kind").applyInArrow(add, X.ANSWER).collect()  # one row for each first class, 16**4 paths at most
     model = Model(*(np.concatenate([_unpack(r["payload"]) for r in joined], axis=1) if joined else np.zeros((3, 0), np.int64)))
     learn = docs.where(~F.coalesce(held_out, F.lit(False))).select(F.col("text").cast("string").alias("text"))
-    learn = learn.coalesce(max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / 96e6)))  # fewer and larger sums; no shuffle
-    for rate in rates if model.tokens else ():
-        _train(learn, model, rate)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total / len(rates) / 64e6)) if rates else 1
+    for turn, rate in enumerate(rates if model.tokens else ()):
+        part = learn.where(F.pmod(F.xxhash64("text", F.lit("turn")), F.lit(len(rates))) == turn)
+        _train(part.coalesce(tasks), model, rate)  # fewer and larger sums; no shuffle
     held = spark.sparkContext.broadcast(model)
     return X.finish(rows, known.where("kind >= 0"), _finish(buckets, held), SCHEMA)
