@@ -251,11 +251,11 @@ def _send_fragments(buckets: int, window: int, hot: int):
         if len(late):  # the same text starts earlier in this group
             again = late[np.concatenate(([True], cls[late][1:] != cls[late][:-1]))]  # the earliest further copy of a text stands for all
             spans = _expand(f.data, np.concatenate((first[cls[again]], again)), a, b - a, doc, at, np.concatenate((cls[again], cls[again])), window)
-            where = dict(zip(cls[again].tolist(), again.tolist(), strict=True))
-            ranges = [(key[i], at[i] + s, at[i] + e) for i in late.tolist() for s, e in spans.get(where[int(cls[i])], ())]
-            if ranges:
-                k, s, e = (np.concatenate([np.full(len(r[1]), r[0]) if j == 0 else r[j] for r in ranges]) for j in range(3))
-                yield -1 - f.grp, f.grp, 1, _ranges(k, s, e)
+            stands = np.zeros(len(first), np.int64)
+            stands[cls[again]] = again
+            i, s, e = spans.of(stands[cls[late]])
+            if len(i):
+                yield -1 - f.grp, f.grp, 1, _ranges(key[late[i]], at[late[i]] + s, at[late[i]] + e)
         # one copy of each text, if its pick is known elsewhere or has another text here
         by_pick = np.sort(pick[first])
         varied = np.unique(by_pick[1:][by_pick[1:] == by_pick[:-1]])
@@ -338,22 +338,39 @@ def _across(table: pa.Table) -> Iterator:
         yield g, 0, payload
 
 
-def _expand(data: np.ndarray, rows: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, together: np.ndarray, window: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-    """For the rows (fragments) that have any: the runs of their windows that start earlier in another of the rows. Rows of one number in `together` stay in one batch."""
+class _Spans:
+    """Runs of repeated windows of some rows (fragments): row, first window and end of each, sorted by row."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.row, self.start, self.end = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+        order = np.argsort(self.row, kind="stable")
+        self.row, self.start, self.end = self.row[order], self.start[order], self.end[order]
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of the rows its runs: place in `rows`, first window and end of each."""
+        lo = np.searchsorted(self.row, rows)
+        n = np.searchsorted(self.row, rows, side="right") - lo
+        at = np.repeat(np.arange(len(rows)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        return at, self.start[place], self.end[place]
+
+
+def _expand(data: np.ndarray, rows: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, together: np.ndarray, window: int) -> _Spans:
+    """The runs of windows of the rows (fragments) that start earlier in another of the rows. Rows of one number in `together` stay in one batch."""
     order = np.argsort(together, kind="stable")
     rows, together = rows[order], together[order]
     ends = np.append(np.flatnonzero(np.diff(together)) + 1, len(rows))
     reach = np.cumsum(size[rows] + 1)
-    out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    out = []
     lo = 0
     while lo < len(rows):
         done = reach[lo - 1] if lo else 0
         hi = int(ends[max(np.searchsorted(reach[ends - 1], done + BATCH, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
         batch = rows[lo:hi]
         lo = hi
-        for u, starts, stops in _classes(data, begin[batch], size[batch], doc[batch], at[batch], window):
-            out.setdefault(int(batch[u]), []).append((starts, stops))
-    return out
+        of, starts, stops = _classes(data, begin[batch], size[batch], doc[batch], at[batch], window)
+        out.append((batch[of], starts, stops))
+    return _Spans(out)
 
 
 def _bucket(heads: list[tuple[np.ndarray, ...]], raw: bytes, window: int) -> tuple[list[tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
@@ -377,29 +394,29 @@ def _bucket(heads: list[tuple[np.ndarray, ...]], raw: bytes, window: int) -> tup
     rows = np.concatenate((once, again))
     _, numbers = np.unique(pick[rows], return_inverse=True)
     spans = _expand(data, rows, begin, size, doc, at, numbers, window)
-    found: list[tuple[np.ndarray, ...]] = []
     stands = np.where(lead, first[cls], 0)  # the row whose windows speak for this one
     if len(again):
         of = np.zeros(len(first), np.int64)
         of[cls[again]] = again
         stands[late] = of[cls[late]]
-    for i, r in enumerate(stands.tolist()):
-        for s, e in spans.get(r, ()):
-            found.append((np.full(len(s), grp[i]), np.full(len(s), key[i]), at[i] + s, at[i] + e))
+    i, s, e = spans.of(stands)
+    found = [(grp[i], key[i], at[i] + s, at[i] + e)]
+    # of split picks, the windows that are the earliest here
+    split = np.flatnonzero(lead & hot)
     open_: list[tuple[np.ndarray, ...]] = []
-    for i in np.flatnonzero(lead & hot).tolist():
-        free = np.ones(size[i] - window + 1, bool)
-        for s, e in spans.get(int(first[cls[i]]), ()):
-            free &= ~B.spans_to_cover(s, e, len(free))
-        w = np.flatnonzero(free)
-        lo = int(begin[i])
-        open_.append((np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[lo + x : lo + x + window]) for x in w.tolist()]), U64).reshape(-1, 2), np.full(len(w), doc[i]), at[i] + w, np.full(len(w), grp[i]), np.full(len(w), key[i])))
+    i, s, e = spans.of(stands[split])
+    cuts = np.searchsorted(i, np.arange(len(split) + 1))
+    for k, r in enumerate(split.tolist()):
+        n = int(size[r]) - window + 1
+        w = np.flatnonzero(~B.spans_to_cover(s[cuts[k] : cuts[k + 1]], e[cuts[k] : cuts[k + 1]], n))
+        lo = int(begin[r])
+        open_.append((np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[lo + x : lo + x + window]) for x in w.tolist()]), U64).reshape(-1, 2), np.full(len(w), doc[r]), at[r] + w, np.full(len(w), grp[r]), np.full(len(w), key[r])))
     empty = np.empty(0, np.int64)
     return found, tuple(np.concatenate(x) for x in zip(*open_, strict=True)) if open_ else (np.empty((0, 2), U64), empty, empty, empty, empty)
 
 
-def _classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each fragment that has any: the runs of its windows that start earlier in another fragment."""
+def _classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows that start earlier in another fragment: fragment, first window and end of each, in order."""
     place = np.cumsum(size + 1) - (size + 1)
     symbols = np.zeros(int(size.sum() + len(size)), np.int16)
     owner = np.repeat(np.arange(len(size)), size)
@@ -419,15 +436,11 @@ def _classes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndar
     later[ranked] = (of[ranked] != of[lead]) | (start[ranked] != start[lead])
     hit = np.flatnonzero(later)
     if not len(hit):
-        return
+        return hit, hit, hit
     new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)))
     firsts = np.flatnonzero(new)
     lasts = np.append(firsts[1:], len(hit)) - 1
-    whose = owner[hit[firsts]]
-    s, e = inner[hit[firsts]], inner[hit[lasts]] + 1
-    cuts = np.flatnonzero(np.diff(whose, prepend=-1, append=-1) != 0)
-    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield int(whose[x]), s[x:y], e[x:y]
+    return owner[hit[firsts]], inner[hit[firsts]], inner[hit[lasts]] + 1
 
 
 def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
