@@ -61,6 +61,7 @@ class _Tokenizer:
         for token, i in vocabulary.items():
             self.last[i] = bool(suffix) and token.endswith(suffix)
         self.words: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, encoded as it is."""
@@ -68,18 +69,33 @@ class _Tokenizer:
         return [np.array(x.ids, "<u4").tobytes() for x in encode(texts, add_special_tokens=False)]
 
     def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of each chunk. Single words are encoded many at a time, parted at their last tokens and remembered; the memory is emptied at a fixed number of words."""
+        """The ids of each chunk, remembered up to a fixed number of chunks."""
+        out = list(map(self.chunks.get, chunks))
+        new = [c for c, ids in zip(chunks, out, strict=True) if ids is None]
+        if new:
+            if len(self.chunks) + len(new) > CACHE:
+                self.chunks.clear()
+            made = self.encoded(new)
+            self.chunks.update(zip(new, made, strict=True))
+            rest = iter(made)
+            out = [next(rest) if ids is None else ids for ids in out]
+        return out
+
+    def encoded(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of new chunks. Single words are encoded many at a time, parted at their last tokens and remembered; the memory is emptied at a fixed number of words."""
         match, known = PLAIN.fullmatch, self.words
         parts = [m.groups() if (m := match(c)) else None for c in chunks]
         words = {x for p in parts if p for x in p}
         if len(known) + len(words) > CACHE:
             known.clear()
-        todo = list(words - known.keys())
+        words -= known.keys()
+        words.discard(b"")
+        todo = list(words)
         for lo in range(0, len(todo), 2048):
             some = todo[lo : lo + 2048]
             (raw,) = self.plain([b" ".join(some).decode()])
             cuts = [0, *((np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()]
-            known.update(zip([x for x in some if x], [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            known.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         known[b""] = b""
         other = iter(self.plain([c.decode() for c, p in zip(chunks, parts, strict=True) if not p]))
         return [known[p[0]] + known[p[1]] if p else next(other) for p in parts]
