@@ -54,14 +54,16 @@ def advance(edges: DataFrame, state: DataFrame, rounds: int = 1) -> tuple[DataFr
 
 
 def follow_links(starts: DataFrame, links: DataFrame, most: int = 40) -> DataFrame:
-    """(start, target, hops) after following links (src, dst) from each start until one has none, at most `most` times."""
+    """(start, target, hops, looped) after following links (src, dst) from each start until one has none. Where `most` times are not enough, as in a loop, target is null and looped is true."""
     state = starts.select("start", F.col("start").alias("target"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("open"))
     for i in range(most):
         met = state.join(links, (F.col("target") == F.col("src")) & F.col("open"), "left")
         state = cut(met.select("start", F.coalesce("dst", "target").alias("target"), (F.col("hops") + F.col("dst").isNotNull().cast("long")).alias("hops"), F.col("dst").isNotNull().alias("open")))
         if state.where("open").isEmpty():
             break
-    return state.drop("open")
+    more = state.join(links.select("src").distinct(), F.col("target") == F.col("src"), "left")
+    looped = F.col("src").isNotNull()
+    return more.select("start", F.when(~looped, F.col("target")).alias("target"), "hops", looped.alias("looped"))
 
 
 def merge_bases(edges: DataFrame, a: int, b: int) -> DataFrame:
@@ -85,7 +87,8 @@ def ahead_behind(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): the length of the longest path to a node without parents; a topological order of an acyclic graph."""
+    """(node, level): the length of the longest path to a node without parents; a topological order. A cycle is an error: no path in an acyclic graph is as long as the graph has nodes."""
+    most = nodes.count()
     level = cut(nodes.select("node", F.lit(0).alias("level")))
     frontier = level
     step = 0
@@ -95,6 +98,8 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         frontier = cut(nxt)
         if frontier.isEmpty():
             return level
+        if step >= most:
+            raise ValueError("the graph has a cycle")
         level = cut(level.unionByName(frontier).groupBy("node").agg(F.max("level").alias("level")))
 
 

@@ -24,15 +24,27 @@ def matches(col: Column, *patterns: str, **options) -> Column:
     return col.rlike(search_pattern(list(patterns), **options))
 
 
+def matches_somewhere(text: Column, *patterns: str, **options) -> Column | None:
+    """A condition that every text with a matching line meets: the same match over the whole text. None where an anchor, a class that takes newlines in or a match of whole lines could differ."""
+    if options.get("whole") or options.get("word") or any("\n" in p for p in patterns):
+        return None
+    if not options.get("fixed") and any(set(p) & set("^$\\") or "[^" in p for p in patterns):
+        return None
+    return matches(text, *patterns, **options)
+
+
 def grep(df: DataFrame, *patterns: str, keys: tuple[str, ...] = ("doc_id",), invert: bool = False, **options) -> DataFrame:
-    """Lines that match (or do not): keys, ln, line."""
-    found = lines(df, *keys)
+    """Lines that match (or do not): keys, ln, line. Texts without a match are left out before they are split into lines."""
+    if not invert and (whole := matches_somewhere(F.col("text"), *patterns, **options)) is not None:
+        df = df.where(whole)
     hit = matches(F.col("line"), *patterns, **options)
-    return found.where(~hit if invert else hit)
+    return lines(df, *keys).where(~hit if invert else hit)
 
 
 def grep_count(df: DataFrame, *patterns: str, keys: tuple[str, ...] = ("doc_id",), zeros: bool = True, **options) -> DataFrame:
     """Matching lines of each text, counted inside its row; zeros keeps texts without any."""
+    if not zeros and (whole := matches_somewhere(F.col("text"), *patterns, **options)) is not None:
+        df = df.where(whole)
     n = F.size(F.filter("lines", lambda x: matches(x, *patterns, **options))).cast("long")
     out = with_lines(df).select(*keys, n.alias("n"))
     return out if zeros else out.where("n > 0")
@@ -174,7 +186,7 @@ def tail(df: DataFrame, n: int, keys: tuple[str, ...] = ("doc_id",), from_line:
 def wc(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Newlines, words, characters and bytes of each text."""
     t = F.col(text)
-    words = F.size(F.filter(F.split(t, r"[ \t\n\x0B\f\r]+"), lambda x: x != ""))
+    words = F.regexp_count(t, F.lit(r"[^ \t\n\x0B\f\r]+"))
     return df.select(*keys, (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long").alias("newlines"), words.cast("long").alias("words"), F.char_length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from .lineage import cut
 from .patterns import glob_pattern
 from .relational import three_way
 
@@ -22,8 +23,10 @@ def blob_id(content: Column) -> Column:
 def build_trees(files: DataFrame) -> DataFrame:
     """(dir, tree) of every directory, the root as '': each level is hashed from the one below it.
 
-    files: path, content. An entry is its mode, name and id; a tree's id is the
-    SHA-1 of its entries in name order.
+    files: path, content. An entry is its mode, a blank, its name, a zero byte and
+    the twenty bytes of its id; entries stand in byte order of their names, a
+    directory's with a slash at its end; a tree's id is the SHA-1 of the type, the
+    size in bytes, a zero byte and the entries.
     """
     split = F.split("path", "/")
     level = files.select(F.array_join(F.slice(split, F.lit(1), F.size(split) - 1), "/").alias("dir"), F.element_at(split, -1).alias("name"), F.lit("100644").alias("mode"), blob_id(F.col("content")).alias("oid"))
@@ -31,9 +34,12 @@ def build_trees(files: DataFrame) -> DataFrame:
     out = None
     for d in range(depth, -1, -1):
         at = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-        entry = F.concat_ws(" ", "mode", "name", "oid")
-        made = level.where(at == d).groupBy("dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", entry.alias("e")))), lambda x: x["e"]), "\n").alias("body"))
-        trees = made.select("dir", F.sha1(F.col("body").cast("binary")).alias("tree"))
+        name = F.when(F.col("mode") == "40000", F.concat("name", F.lit("/"))).otherwise(F.col("name")).cast("binary")
+        entry = F.concat(F.hex(F.concat_ws(" ", "mode", "name").cast("binary")), F.lit("00"), "oid")
+        made = level.where(at == d).groupBy("dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name.alias("name"), entry.alias("e")))), lambda x: x["e"]), "").alias("body"))
+        head = F.concat(F.hex(F.concat(F.lit("tree "), (F.length("body") / 2).cast("long").cast("string")).cast("binary")), F.lit("00"))
+        # each level is read by the one above it and by the result
+        trees = cut(made.select("dir", F.sha1(F.unhex(F.concat(head, "body"))).alias("tree")))
         out = trees if out is None else out.unionByName(trees)
         up = F.split("dir", "/")
         level = level.where(at < d).unionByName(trees.where("dir <> ''").select(F.array_join(F.slice(up, F.lit(1), F.size(up) - 1), "/").alias("dir"), F.element_at(up, -1).alias("name"), F.lit("40000").alias("mode"), F.col("tree").alias("oid")))

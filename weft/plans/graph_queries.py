@@ -119,10 +119,10 @@ def _(spark, sf):
     return G.closure(_edges(spark, sf), roots).select("node")
 
 
-@query("grf_17_gc_sweep", f"SELECT o_orderkey AS node FROM orders WHERE o_orderkey < 1200 AND o_orderkey NOT IN {_reach('1400')}")
+@query("grf_17_gc_sweep", f"SELECT o_orderkey AS node FROM orders WHERE o_orderkey NOT IN {_reach('1400')}")
 def _(spark, sf):
     marked = G.closure(_edges(spark, sf), _seeds(spark, 1400)).select("node")
-    return load(spark, sf, "orders").where("o_orderkey < 1200").select(F.col("o_orderkey").alias("node")).join(marked, "node", "left_anti")
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("node")).join(marked, "node", "left_anti")
 
 
 @query("grf_21_replay_list", f"SELECT node, row_number() OVER (ORDER BY node) AS step FROM (SELECT node FROM {_reach('1400')} EXCEPT SELECT node FROM {_reach('1407')})")
@@ -138,10 +138,10 @@ def _(spark, sf):
     return reach.groupBy("node").agg(F.max("seed").alias("m")).where("m = 0").select("node")
 
 
-@query("srt_14_topological_levels", f"WITH RECURSIVE r AS (SELECT o_orderkey AS node, 0 AS level FROM orders WHERE o_orderkey <= 300 UNION SELECT e.child, r.level + 1 FROM r JOIN {EDGES} e ON e.parent = r.node WHERE e.child <= 300) SELECT node, CAST(max(level) AS INT) AS level FROM r GROUP BY node")
+@query("srt_14_topological_levels", f"WITH RECURSIVE r AS (SELECT o_orderkey AS node, 0 AS level FROM orders UNION SELECT e.child, r.level + 1 FROM r JOIN {EDGES} e ON e.parent = r.node) SELECT node, CAST(max(level) AS INT) AS level FROM r GROUP BY node")
 def _(spark, sf):
-    nodes = load(spark, sf, "orders").where("o_orderkey <= 300").select(F.col("o_orderkey").alias("node"))
-    return G.levels(_edges(spark, sf).where("child <= 300"), nodes)
+    nodes = load(spark, sf, "orders").select(F.col("o_orderkey").alias("node"))
+    return G.levels(_edges(spark, sf), nodes)
 
 
 PATHS = "(SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, sha1('blob ' || strlen(text) || chr(0) || text) AS oid, doc_id FROM documents)"

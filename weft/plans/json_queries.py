@@ -10,11 +10,11 @@ from ..functions import numbers as N
 from ..sources.tables import load
 from .registry import query
 
-ORDER_LINES = "(SELECT l_orderkey AS o, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS n, list(CAST(round(l_quantity) AS BIGINT) ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS q, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS f FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1)"
+ORDER_LINES = "(SELECT l_orderkey AS o, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS n, list(CAST(round(l_quantity) AS BIGINT) ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS q, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS f FROM lineitem GROUP BY 1)"
 
 
 def _order_lines(spark, sf):
-    li = load(spark, sf, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", F.col("l_returnflag").alias("f"), F.round("l_quantity").cast("long").alias("q")))).alias("s"))
+    li = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", F.col("l_returnflag").alias("f"), F.round("l_quantity").cast("long").alias("q")))).alias("s"))
     return li.select("o", F.col("s.l_linenumber").alias("n"), F.col("s.q").alias("q"), F.col("s.f").alias("f"))
 
 
@@ -201,9 +201,9 @@ def _(spark, sf):
     return load(spark, sf, "events").where(k > 50).select("event_id", J.alternative(k, F.lit(0)).alias("k"))
 
 
-@query("str_01_ascii_case", "SELECT doc_id, translate(text[1:200], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS down, translate(text[1:200], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up FROM documents")
+@query("str_01_ascii_case", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS down, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS up FROM documents")
 def _(spark, sf):
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     return load(spark, sf, "documents").select("doc_id", J.ascii_downcase(t).alias("down"), J.ascii_upcase(t).alias("up"))
 
 
@@ -371,9 +371,9 @@ def _(spark, sf):
     return _parts(spark, sf).select("p_partkey", A.number(F.concat(F.col("p_size").cast("string"), "p_name")).alias("a"), A.number(F.col("p_brand")).alias("b"))
 
 
-@query("mth_06_human_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) WHEN ceil(n_chars / 1024.0 * 10) / 10 < 10 THEN printf('%.1fK', CAST(ceil(n_chars / 1024.0::DOUBLE * 10) / 10 AS DOUBLE)) ELSE CAST(CAST(ceil(n_chars / 1024.0::DOUBLE) AS BIGINT) AS VARCHAR) || 'K' END AS size FROM documents WHERE n_chars < 1000000")
+@query("mth_06_human_size", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) WHEN ceil(n_chars / 1024.0 * 10) / 10 < 10 THEN printf('%.1fK', CAST(ceil(n_chars / 1024.0::DOUBLE * 10) / 10 AS DOUBLE)) WHEN ceil(n_chars / 1024.0::DOUBLE) < 1024 THEN CAST(CAST(ceil(n_chars / 1024.0::DOUBLE) AS BIGINT) AS VARCHAR) || 'K' WHEN ceil(n_chars / 1048576.0::DOUBLE * 10) / 10 < 10 THEN printf('%.1fM', CAST(ceil(n_chars / 1048576.0::DOUBLE * 10) / 10 AS DOUBLE)) ELSE CAST(CAST(ceil(n_chars / 1048576.0::DOUBLE) AS BIGINT) AS VARCHAR) || 'M' END AS size FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "documents").where("n_chars < 1000000").select("doc_id", N.human_size(F.col("n_chars")).alias("size"))
+    return load(spark, sf, "documents").select("doc_id", N.human_size(F.col("n_chars")).alias("size"))
 
 
 @query("mth_07_equal_width", "SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), 5, '0') AS w FROM part")

@@ -89,9 +89,9 @@ def _shout(df, mark="!"):
     return df.withColumn("line", F.concat(ascii_upcase(F.col("line")), F.lit(mark)))
 
 
-@query("udf_01_injected_command", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS ln, translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '?' AS line FROM {LINES} WHERE ln <= 2")
+@query("udf_01_injected_command", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS ln, translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '?' AS line FROM {LINES}")
 def _(spark, sf):
-    return shell.run(_lines(spark, sf).where("ln <= 2"), "cat | shout '?'")
+    return shell.run(_lines(spark, sf), "cat | shout '?'")
 
 
 @query("udf_06_aggregate", "SELECT source, CAST(sum(n_chars) AS BIGINT) AS total, max(n_chars) - min(n_chars) AS spread FROM documents GROUP BY source")

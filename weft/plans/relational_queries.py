@@ -74,10 +74,10 @@ def _(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.substring("text", 101, 50).alias("part"))
 
 
-@query("src_11_revalidated_read", "SELECT w.doc_id, d.doc_id IS NOT NULL AND d.n_chars = w.size AS ok, min(CASE WHEN d.doc_id IS NOT NULL AND d.n_chars = w.size THEN 1 ELSE 0 END) OVER () AS all_ok FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE doc_id < 50) w LEFT JOIN documents d USING (doc_id)")
+@query("src_11_revalidated_read", "SELECT w.doc_id, d.doc_id IS NOT NULL AND d.n_chars = w.size AS ok, min(CASE WHEN d.doc_id IS NOT NULL AND d.n_chars = w.size THEN 1 ELSE 0 END) OVER () AS all_ok FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents) w LEFT JOIN documents d USING (doc_id)")
 def _(spark, sf):
     d = load(spark, sf, "documents")
-    wanted = d.where("doc_id < 50").select("doc_id", F.when(F.col("doc_id") % 17 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"))
+    wanted = d.select("doc_id", F.when(F.col("doc_id") % 17 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"))
     met = wanted.join(d.select("doc_id", "n_chars"), "doc_id", "left").select("doc_id", (F.col("n_chars").isNotNull() & (F.col("n_chars") == F.col("size"))).alias("ok"))
     verdict = met.agg(F.min(F.col("ok").cast("int")).alias("all_ok"))
     return met.crossJoin(F.broadcast(verdict))  # one row
@@ -88,7 +88,7 @@ def _(spark, sf):
     return _files(spark, sf).where("parent = 'src6/en'").select("path", "size", "rev")
 
 
-@query("src_13_symlink_resolution", "WITH RECURSIVE t AS (SELECT p_partkey AS start, p_partkey AS place, 0 AS hops FROM part UNION ALL SELECT start, place // 3, hops + 1 FROM t WHERE place % 3 = 0 AND place > 0 AND hops < 40) SELECT start, max_by(place, hops) AS target, CAST(max(hops) AS BIGINT) AS hops FROM t GROUP BY start")
+@query("src_13_symlink_resolution", "WITH RECURSIVE t AS (SELECT p_partkey AS start, p_partkey AS place, 0 AS hops FROM part UNION ALL SELECT start, place // 3, hops + 1 FROM t WHERE place % 3 = 0 AND place > 0 AND hops < 40) SELECT start, CASE WHEN NOT bool_or(hops = 40 AND place % 3 = 0 AND place > 0) THEN max_by(place, hops) END AS target, CAST(max(hops) AS BIGINT) AS hops, bool_or(hops = 40 AND place % 3 = 0 AND place > 0) AS looped FROM t GROUP BY start")
 def _(spark, sf):
     from ..operators.graph import follow_links
 
@@ -109,11 +109,12 @@ def _(spark, sf):
     return mounted({"docs": _files(spark, sf).select("path", "size"), "web": web})
 
 
-@query("src_16_import", f"SELECT path, dense_rank() OVER (ORDER BY content) AS inode, count(*) OVER (PARTITION BY content) AS nlink FROM {FILES} WHERE size < 300")
+@query("src_16_import", f"SELECT path, min(path) OVER (PARTITION BY content) AS inode, count(*) OVER (PARTITION BY content) AS nlink FROM {FILES}")
 def _(spark, sf):
-    f = _files(spark, sf).where("size < 300")
-    inodes = f.groupBy("content").agg(F.count("*").alias("nlink")).withColumn("inode", F.row_number().over(Window.orderBy("content")).cast("long"))
-    return f.join(inodes, "content").select("path", "inode", "nlink")
+    # one node a content, named by its first path: no order over all contents; contents are known by size and digest
+    f = _files(spark, sf).select("path", F.octet_length("content").alias("size"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    inodes = f.groupBy("digest", "size").agg(F.count("*").alias("nlink"), F.min("path").alias("inode"))
+    return f.join(inodes, ["digest", "size"]).select("path", "inode", "nlink")
 
 
 @query("src_19_sequence", "SELECT n, printf('%.2f', CAST(1.5 + 0.25 * n AS DOUBLE)) AS value FROM range(0, 395) t(n)")
@@ -181,17 +182,29 @@ def _(spark, sf):
     return R.compact_log(log, ["l_partkey"], "seq", "op").select("l_partkey", F.col("seq.l_orderkey").alias("seq"))
 
 
-@query("snk_09_tree_build", f"WITH b AS (SELECT parent, regexp_extract(path, '[^/]*$') AS name, sha1('blob ' || strlen(content) || chr(0) || content) AS oid FROM {FILES}), l AS (SELECT parent, sha1(string_agg('100644 ' || name || ' ' || oid, chr(10) ORDER BY name)) AS tree FROM b GROUP BY parent), t AS (SELECT split_part(parent, '/', 1) AS dir, sha1(string_agg('40000 ' || split_part(parent, '/', 2) || ' ' || tree, chr(10) ORDER BY split_part(parent, '/', 2))) AS tree FROM l GROUP BY 1) SELECT dir, tree FROM t UNION ALL SELECT parent, tree FROM l UNION ALL SELECT '', sha1(string_agg('40000 ' || dir || ' ' || tree, chr(10) ORDER BY dir)) FROM t")
+#: The id of a tree whose entries are given as hexadecimal digits.
+TREE = "sha1(unhex(hex(encode('tree ' || CAST(length({0}) // 2 AS VARCHAR))) || '00' || {0}))"
+ENTRY = "hex(encode('{0} ' || {1})) || '00' || upper({2})"
+
+
+@query(
+    "snk_09_tree_build",
+    f"""WITH b AS (SELECT parent, regexp_extract(path, '[^/]*$') AS name, sha1('blob ' || strlen(content) || chr(0) || content) AS oid FROM {FILES}),
+    l AS (SELECT parent, {TREE.format('e')} AS tree FROM (SELECT parent, string_agg({ENTRY.format('100644', 'name', 'oid')}, '' ORDER BY name) AS e FROM b GROUP BY parent)),
+    t AS (SELECT dir, {TREE.format('e')} AS tree FROM (SELECT split_part(parent, '/', 1) AS dir, string_agg({ENTRY.format('40000', "split_part(parent, '/', 2)", 'tree')}, '' ORDER BY split_part(parent, '/', 2) || '/') AS e FROM l GROUP BY 1)),
+    r AS (SELECT string_agg({ENTRY.format('40000', 'dir', 'tree')}, '' ORDER BY dir || '/') AS e FROM t)
+    SELECT dir, tree FROM t UNION ALL SELECT parent, tree FROM l UNION ALL SELECT '', {TREE.format('e')} FROM r""",
+)
 def _(spark, sf):
     from ..operators.version import build_trees
 
     return build_trees(_files(spark, sf))
 
 
-@query("jon_01_sorted_pairing", "SELECT l_orderkey AS k, l_partkey AS l, o_custkey AS r FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS n FROM lineitem WHERE l_orderkey < 400) a FULL JOIN (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey) AS n FROM orders WHERE o_orderkey < 300) b ON l_orderkey = o_orderkey AND a.n = b.n" .replace("SELECT l_orderkey AS k", "SELECT coalesce(l_orderkey, o_orderkey) AS k"))
+@query("jon_01_sorted_pairing", "SELECT l_orderkey AS k, l_partkey AS l, o_custkey AS r FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS n FROM lineitem) a FULL JOIN (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey) AS n FROM orders) b ON l_orderkey = o_orderkey AND a.n = b.n" .replace("SELECT l_orderkey AS k", "SELECT coalesce(l_orderkey, o_orderkey) AS k"))
 def _(spark, sf):
-    a = load(spark, sf, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("v"), F.col("l_linenumber").alias("t"))
-    b = load(spark, sf, "orders").where("o_orderkey < 300").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), F.lit(0).alias("t"))
+    a = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("v"), F.col("l_linenumber").alias("t"))
+    b = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), F.lit(0).alias("t"))
     return R.pair_sorted(a, b, "k", ["v", "t"]).select("k", F.col("l_v").alias("l"), F.col("r_v").alias("r"))
 
 
@@ -534,14 +547,14 @@ def _(spark, sf):
     return d.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_chars") / 512) - 1)).alias("chunk")).select("doc_id", "chunk", F.least(F.lit(512), F.col("n_chars") - 512 * F.col("chunk")).alias("size"))
 
 
-@query("msc_01_base64", "SELECT doc_id, to_base64(encode(text[1:100])) AS b64 FROM documents")
+@query("msc_01_base64", "SELECT doc_id, to_base64(encode(text)) AS b64 FROM documents")
 def _(spark, sf):
     from ..functions.jq import encode_base64
 
-    return load(spark, sf, "documents").select("doc_id", encode_base64(F.substring("text", 1, 100)).alias("b64"))
+    return load(spark, sf, "documents").select("doc_id", encode_base64(F.col("text")).alias("b64"))
 
 
-@query("msc_02_xargs_batches", "SELECT l_suppkey AS s, batch, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS args FROM (SELECT l_suppkey, k, (row_number() OVER (PARTITION BY l_suppkey ORDER BY k) - 1) // 7 AS batch FROM (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS k FROM lineitem WHERE l_orderkey < 500)) GROUP BY 1, 2")
+@query("msc_02_xargs_batches", "SELECT l_suppkey AS s, batch, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS args FROM (SELECT l_suppkey, k, (row_number() OVER (PARTITION BY l_suppkey ORDER BY k) - 1) // 7 AS batch FROM (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS k FROM lineitem)) GROUP BY 1, 2")
 def _(spark, sf):
-    li = load(spark, sf, "lineitem").where("l_orderkey < 500").select(F.col("l_suppkey").alias("s"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    li = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
     return R.batches(li, "k", 7, "s").select("s", "batch", F.array_join(F.col("args").cast("array<string>"), ",").alias("args"))
