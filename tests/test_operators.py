@@ -376,3 +376,75 @@ def test_queries_survive_without_the_corpus_operators():
 
     code = "import sys; sys.modules['weft.llm'] = None; sys.modules['corpus_pipeline'] = None; import weft.plans; print(len(weft.plans.registered()[0]))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/", 2)[0]).stdout) > 150
+
+
+def _least_edits(a, b):
+    """Lines inserted and deleted by a shortest edit script: a table over all pairs of places."""
+    above = [0] * (len(b) + 1)
+    for x in a:
+        here = [0]
+        for j, y in enumerate(b):
+            here.append(above[j] + 1 if x == y else max(above[j + 1], here[j]))
+        above = here
+    return len(b) - above[-1], len(a) - above[-1]
+
+
+def test_line_diffs_and_merges_of_the_tables(spark, sf):
+    """dif_02, dif_03, agg_12 and dif_12 against tables over all pairs of lines, and against the edit itself."""
+    import collections
+    import hashlib
+    import os
+
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    from weft.plans import registered
+
+    queries = registered()[0]
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want, edited = {}, {}
+    for d, r in docs.items():
+        a = r.text.split("\n")
+        b = [x + " edited" if (i + 1) % 7 == 0 else x for i, x in enumerate(a) if (i + 1) % 5] + ["the end"]
+        want[d], edited[d] = _least_edits(a, b), "\n".join(b)
+    assert {r.doc_id: (r.inserted, r.deleted) for r in queries["dif_02_line_diff"](spark, sf).collect()} == want
+    total = collections.Counter()
+    for d, (i, e) in want.items():
+        total.update({(docs[d].source, "files"): 1, (docs[d].source, "i"): i, (docs[d].source, "d"): e})
+    assert {r.source: (r.files, r.insertions, r.deletions) for r in queries["agg_12_diff_summary"](spark, sf).collect()} == {s: (total[s, "files"], total[s, "i"], total[s, "d"]) for s in {r.source for r in docs.values()}}
+    for r in queries["dif_03_unified_hunks"](spark, sf).collect():
+        body = [line for line in r.hunks.split("\n") if line]
+        assert sum(x[0] == "+" for x in body) == want[r.doc_id][0] and sum(x[0] == "-" for x in body) == want[r.doc_id][1]
+    for r in queries["dif_12_text_merge"](spark, sf).collect():
+        assert r.conflicts or r.sha1 == hashlib.sha1(("preface\n" + edited[r.doc_id]).encode()).hexdigest()
+    assert {r.doc_id: r.sha1 for r in queries["dif_16_patch"](spark, sf).collect()} == {d: hashlib.sha1(t.encode()).hexdigest() for d, t in edited.items()}
+
+
+def test_links_that_never_end_are_told(spark):
+    from weft.operators.graph import follow_links, levels
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "src long, dst long")
+    got = {r.start: (r.target, r.looped) for r in follow_links(spark.createDataFrame([(0,), (30,), (100,), (200,)], "start long"), links).collect()}
+    assert got == {0: (None, True), 30: (60, False), 100: (None, True), 200: (200, False)}
+    with pytest.raises(ValueError):
+        levels(links.select(links.src.alias("child"), links.dst.alias("parent")), links.select(links.src.alias("node")).distinct())
+
+
+def test_a_broken_publish_is_put_back(spark, tmp_path):
+    import os
+
+    from weft.sources.sinks import publish, recover
+
+    path = str(tmp_path / "table")
+    publish(spark.range(3), path)
+    os.rename(path, path + ".old")  # as if the program ended between the two moves
+    assert recover(spark, path) and spark.read.parquet(path).count() == 3
+    publish(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and os.listdir(tmp_path) == ["table"]
+
+
+def test_latest_does_not_depend_on_order(spark):
+    from weft.streaming.incremental import latest
+
+    rows = [(1, 5, "a"), (1, 5, "b"), (1, 4, "c"), (2, 1, "d")]
+    one, two = (sorted(map(tuple, latest(spark.createDataFrame(r, "k int, g int, v string"), ["k"], "g").collect())) for r in (rows, rows[::-1]))
+    assert one == two and one[0][2] in "ab"

@@ -314,7 +314,10 @@ def _(spark, sf):
     return t.select("doc_id", V.merge_three("text", "other", "theirs").alias("m")).select("doc_id", "m.conflicts", F.sha1(F.col("m.text").cast("binary")).alias("sha1"))
 
 
-@query("dif_16_patch", "SELECT doc_id, 0 AS rejected, TRUE AS same FROM documents")
+EDITED = "string_agg(CASE WHEN ln % 7 = 0 THEN line || ' edited' ELSE line END, chr(10) ORDER BY ln) FILTER (WHERE ln % 5 <> 0) || chr(10) || 'the end'"
+
+
+@query("dif_16_patch", f"SELECT doc_id, 0 AS rejected, sha1({EDITED}) AS sha1 FROM (SELECT doc_id, ln, line FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, ln)) GROUP BY doc_id")
 def _(spark, sf):
     t = _texts(spark, sf).withColumn("h", V.diff_texts("text", "other")["hunks"])
-    return t.select("doc_id", V.patch_text("text", "h").alias("p"), "other").select("doc_id", F.col("p.rejected").cast("int").alias("rejected"), (F.col("p.text") == F.col("other")).alias("same"))
+    return t.select("doc_id", V.patch_text("text", "h").alias("p")).select("doc_id", F.col("p.rejected").cast("int").alias("rejected"), F.sha1(F.col("p.text").cast("binary")).alias("sha1"))

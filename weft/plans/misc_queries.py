@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..streaming import incremental as S
 from . import jq, shell
 from .registry import query
 from .text_queries import LINES
+from .tool_queries import _folder
 
 
 def _lines(spark, sf):
@@ -84,6 +87,48 @@ def _(spark, sf):
     return load(spark, sf, "events").select("user_id", "event_id", F.sum((F.col("event_type") == "click").cast("long")).over(w).alias("clicks"))
 
 
+@query("shl_01_find_xargs", f"SELECT CAST(NULL AS BIGINT) AS doc_id, row_number() OVER (ORDER BY doc_id, ln) AS ln, doc_id || ':' || ln || ':' || line AS line FROM {LINES} WHERE doc_id % 10 = 7 AND contains(line, 'the')")
+def _(spark, sf):
+    return shell.run(_lines(spark, sf), "find . -name '*7' | xargs grep -n the")
+
+
+@query("shl_02_sed_block", f"SELECT doc_id, ln - 1 AS ln, replace(line, 'the', 'THE') AS line FROM {LINES} WHERE ln BETWEEN 2 AND 4")
+def _(spark, sf):
+    return shell.run(_lines(spark, sf), "sed -n '2,4{s/the/THE/g;p}'")
+
+
+@query("shl_03_numbered_end", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS ln, line FROM (SELECT doc_id, ln, lpad(CAST(ln AS VARCHAR), 6, ' ') || chr(9) || line AS line, max(ln) OVER (PARTITION BY doc_id) AS last FROM {LINES}) WHERE ln > last - 2")
+def _(spark, sf):
+    return shell.run(_lines(spark, sf), "cat -n | tail -2")
+
+
+@query("shl_04_sequence", f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, ln) AS ln, line FROM (SELECT doc_id, 0 AS part, ln, line FROM {LINES} WHERE contains(line, 'idiot') UNION ALL SELECT doc_id, 1, ln, line FROM {LINES} WHERE ln <= 2)")
+def _(spark, sf):
+    return shell.run(_lines(spark, sf), "grep idiot ; head -2")
+
+
+@query("stm_12_upsert_stream", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def _(spark, sf):
+    """A stream of the events' files, kept as the newest event of each user."""
+    target = f"{_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    events = load(spark, sf, "events").select("user_id", "event_id")
+    events.write.parquet(f"{target}/in")
+    changes = S.read_changes(spark, f"{target}/in", events.schema)
+    S.upsert_stream(changes, f"{target}/out", ["user_id"], "event_id", f"{target}/log").awaitTermination()
+    return S.current(spark, f"{target}/out")
+
+
+@query("stm_13_deduplicated_stream", "SELECT DISTINCT user_id FROM events")
+def _(spark, sf):
+    """The first event of each user from a stream, within a watermark that holds all of them."""
+    target = f"{_folder(spark)}/dedup-{uuid.uuid4().hex}"
+    events = load(spark, sf, "events").select("user_id", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    events.write.parquet(f"{target}/in")
+    once = S.deduplicated(S.read_changes(spark, f"{target}/in", events.schema), ["user_id"], "ts", "1 day").select("user_id")
+    once.writeStream.format("parquet").option("checkpointLocation", f"{target}/log").trigger(availableNow=True).start(f"{target}/out").awaitTermination()
+    return spark.read.schema("user_id long").parquet(f"{target}/out")
+
+
 @S.command("shout")
 def _shout(df, mark="!"):
     return df.withColumn("line", F.concat(ascii_upcase(F.col("line")), F.lit(mark)))

@@ -85,7 +85,7 @@ def _(spark, sf):
 
 @query("win_07_context_frame", f"SELECT doc_id, ln, line FROM (SELECT *, max(CASE WHEN contains(line, 'the') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM {LINES}) WHERE near = 1")
 def _(spark, sf):
-    return shell.run(lines(load(spark, sf, "documents"), "doc_id"), "grep -B 1 -A 2 the")
+    return shell.run(lines(load(spark, sf, "documents"), "doc_id"), "grep --no-group-separator -B 1 -A 2 the")
 
 
 @query("srt_13_spilling_sort", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber")

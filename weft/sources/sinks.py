@@ -38,13 +38,18 @@ def publish(df: DataFrame, path: str) -> None:
     """> and -o: the result appears at the path as a whole after it is complete, so the path may be an input of df.
 
     It is written next to the path and moved there; readers see the old table
-    or the new one, or for a moment none.
+    or the new one, or for a moment none. The old table waits at path.old; should
+    the program end in that moment, recover() or the next publish() puts it back.
     """
+    recover(df.sparkSession, path)
     spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(f"{beside}.new")
+    beside = path.rstrip("/")
+    fresh = f"{beside}.{uuid.uuid4().hex}.new"
+    df.write.parquet(fresh)
     target, fs = _files(spark, path)
-    new, old = (_files(spark, f"{beside}.{x}")[0] for x in ("new", "old"))
+    new, old = _files(spark, fresh)[0], _files(spark, f"{beside}.old")[0]
+    if fs.exists(target):
+        fs.delete(old, True)
     if fs.exists(target) and not fs.rename(target, old):
         raise OSError(f"{path} could not be moved")
     if not fs.rename(new, target):
@@ -52,6 +57,13 @@ def publish(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put the old table back if a publish() ended between its two moves; whether it did."""
+    target, fs = _files(spark, path)
+    old = _files(spark, f"{path.rstrip('/')}.old")[0]
+    return not fs.exists(target) and fs.exists(old) and fs.rename(old, target)
+
+
 def edit_in_place(spark: SparkSession, path: str, change) -> None:
     """sed -i and sort -o: the table at the path replaced by change(table)."""
     publish(change(spark.read.parquet(path)), path)

@@ -20,9 +20,9 @@ def dirty_flags(changes: DataFrame, keys: list[str], flag: str) -> DataFrame:
 
 
 def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last writer wins: the newest row of each key (a stale generation never replaces a newer one)."""
+    """Last writer wins: the newest row of each key (a stale generation never replaces a newer one). Of equally new rows the one of greatest hash wins, whatever the order they come in."""
     rest = [c for c in changes.columns if c not in keys]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_v")).select(*keys, "_v.*")
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("_v")).select(*keys, "_v.*")
 
 
 def apply_batch(table: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -42,20 +42,46 @@ def revalidated(cached: DataFrame, epochs: DataFrame, keys: list[str], epoch: st
 
 
 def upsert_stream(changes: DataFrame, target: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet table of the newest row of each key from a stream; each batch writes a version and then points at it."""
+    """Keep a Parquet table of the newest row of each key from a stream.
+
+    Each batch writes a version next to the one that readers see, then a pointer
+    of its own (an empty file in done/, made at once); current() reads the
+    greatest version that has one. A batch that is run again after a crash writes
+    its version anew. Of the versions before, the last one stays for readers that
+    have opened it, and the others are deleted.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        names = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = names.getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(names) if s.getPath().getName().startswith("v=")) if fs.exists(names) else []
-        before = [v for v in versions if v < number]
+        before = [v for v in _versions(spark, target) if v < number]
         table = spark.read.parquet(f"{target}/v={before[-1]}") if before else batch.limit(0)
         apply_batch(table, batch, keys, order).write.mode("overwrite").parquet(f"{target}/v={number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path(f"{target}/done"))
+        fs.create(path(f"{target}/done/{number}"), True).close()
+        for v in before[:-1]:
+            fs.delete(path(f"{target}/done/{v}"), False)
+            fs.delete(path(f"{target}/v={v}"), True)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """The complete versions of a table that upsert_stream() keeps, oldest first."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/done")
+    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(done)) if fs.exists(done) else []
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The table as of the last complete batch."""
+    versions = _versions(spark, target)
+    if not versions:
+        raise ValueError(f"no complete version in {target}")
+    return spark.read.parquet(f"{target}/v={versions[-1]}")
+
+
 def deduplicated(events: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:
     """First event of each key within a watermark; state older than it is dropped."""
     return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
