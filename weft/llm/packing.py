@@ -28,7 +28,8 @@ from . import bytesops as B
 from .common import materialize, prepare
 
 END_ID = 1
-CACHE = 800_000
+#: Words and chunks that a worker remembers: twice and once so many at most.
+CACHE = 200_000
 PIECES_PER_PART = 20000
 _TOKENIZERS: dict[str, _Tokenizer] = {}
 #: One run of letters (ASCII, or a Latin letter of two bytes) and then ASCII marks: each run is one word of the vocabulary's pattern.
@@ -61,6 +62,7 @@ class _Tokenizer:
         for token, i in vocabulary.items():
             self.last[i] = bool(suffix) and token.endswith(suffix)
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -73,21 +75,25 @@ class _Tokenizer:
         out = list(map(self.chunks.get, chunks))
         new = [c for c, ids in zip(chunks, out, strict=True) if ids is None]
         if new:
+            made = self.encoded(new)
             if len(self.chunks) + len(new) > CACHE:
                 self.chunks.clear()
-            made = self.encoded(new)
-            self.chunks.update(zip(new, made, strict=True))
+            if len(new) <= CACHE:
+                self.chunks.update(zip(new, made, strict=True))
             rest = iter(made)
             out = [next(rest) if ids is None else ids for ids in out]
         return out
 
     def encoded(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of new chunks. Single words are encoded many at a time, parted at their last tokens and remembered; the memory is emptied at a fixed number of words."""
-        match, known = PLAIN.fullmatch, self.words
+        """The ids of new chunks. Single words are encoded many at a time, parted at their last tokens and remembered in two generations: when one is full, words that nobody asked for since the one before are forgotten."""
+        match = PLAIN.fullmatch
         parts = [m.groups() if (m := match(c)) else None for c in chunks]
         words = {x for p in parts if p for x in p}
-        if len(known) + len(words) > CACHE:
-            known.clear()
+        if len(self.words) > CACHE:
+            self.older, self.words = self.words, {}
+        known = self.words
+        older = self.older
+        known.update({w: older[w] for w in words - known.keys() if w in older})
         words -= known.keys()
         words.discard(b"")
         todo = list(words)

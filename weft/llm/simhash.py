@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import tidy
 from .common import materialize, prepare, row_keys
 from .components import components
 
@@ -71,7 +72,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            bits = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], U64)
+            bits = np.array([fingerprint(t, width) for lo in range(0, batch.num_rows, 256) for t in batch.column(1).slice(lo, 256).to_pylist()], U64)
+            tidy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(bits.view(np.int64))], names=["doc_id", "row_key", "row_check", "fingerprint"])
 
     key, check = row_keys(F.col("doc_id"), F.col("text"))

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import tidy
 from .common import discard, materialize, prepare
 
 #: Labelled texts that are learned from: so many toxic ones and CLEAN times as many others.
@@ -418,7 +419,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     def work(batches):
         machines = grammar.automaton()
         for batch in batches:
-            found = [grammar.clauses(t or "", machines) for t in batch.column(1).to_pylist()]
+            found = [grammar.clauses(t or "", machines) for lo in range(0, batch.num_rows, 256) for t in batch.column(1).slice(lo, 256).to_pylist()]
             score = np.array([grammar.weigh(f) for f in found])
             clauses = pa.array([[{"pattern": p, "weight": w} for p, w in f] for f in found], _CLAUSES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), clauses], names=["doc_id", "score", "predicted", "clauses"])
@@ -434,7 +435,10 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per
     def work(batches):
         machines = grammar.automaton()
         for batch in batches:
-            texts = batch.column(at).cast(pa.string()).to_pylist()
-            yield batch.filter(pa.array([grammar.weigh(grammar.clauses(t or "", machines)) < threshold for t in texts], pa.bool_()))
+            stay: list[bool] = []
+            for lo in range(0, batch.num_rows, 256):
+                stay += [grammar.weigh(grammar.clauses(t or "", machines)) < threshold for t in batch.column(at).slice(lo, 256).cast(pa.string()).to_pylist()]
+            yield batch if all(stay) else batch.filter(pa.array(stay, pa.bool_()))
+            tidy()
 
     return docs.mapInArrow(work, docs.schema)
