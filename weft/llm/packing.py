@@ -28,8 +28,9 @@ from . import bytesops as B
 from .common import materialize, prepare
 
 END_ID = 1
-#: Words and chunks that a worker remembers: twice and once so many at most.
-CACHE = 200_000
+#: Words (in each of two generations) and chunks that a worker remembers.
+WORDS = 350_000
+CACHE = 150_000
 PIECES_PER_PART = 20000
 _TOKENIZERS: dict[str, _Tokenizer] = {}
 #: One run of letters (ASCII, or a Latin letter of two bytes) and then ASCII marks: each run is one word of the vocabulary's pattern.
@@ -89,7 +90,7 @@ class _Tokenizer:
         match = PLAIN.fullmatch
         parts = [m.groups() if (m := match(c)) else None for c in chunks]
         words = {x for p in parts if p for x in p}
-        if len(self.words) > CACHE:
+        if len(self.words) > WORDS:
             self.older, self.words = self.words, {}
         known = self.words
         older = self.older
